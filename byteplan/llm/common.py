@@ -6,9 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 #: The ASCII white space that separates words everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Shuffle files go as soon as the table they were for is written.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a compressed Parquet table in the shared folder.
 
@@ -36,7 +42,15 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/byteplan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE_SHUFFLES)
+        else:
+            spark.conf.set(_FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,3 +82,26 @@ def chunks(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def id_range(rows: DataFrame, ranges: int, descending: bool = False) -> Column:
+    """A number for each row's range of ``doc_id``, rising (or falling) with the id; null ids come last.
+
+    The ranges are of about equal size by approximate quantiles, of which the driver holds one number per
+    range. Null ids are spread over as many numbers again by the hash ``key``. Two passes: the first
+    reads the ids only.
+    """
+    ids = rows.select(F.col("doc_id").cast("double").alias("x"))
+    cuts = ids.approxQuantile("x", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
+    cuts = np.unique(np.array([c for c in cuts or [] if c is not None], dtype=np.float64))
+
+    @arrow_udf("int")
+    def number(x: pa.Array, key: pa.Array) -> pa.Array:
+        values = x.to_numpy(zero_copy_only=False).astype(np.float64)
+        by_key = (key.to_numpy(zero_copy_only=False).astype(np.float64) / 2.0**64 + 0.5) * ranges
+        found = np.searchsorted(cuts, values, side="right")
+        found = len(cuts) - found if descending else found
+        null = x.is_null().to_numpy(zero_copy_only=False)
+        return pa.array(np.where(null, len(cuts) + 1 + np.clip(by_key, 0, ranges - 1).astype(np.int64), found).astype(np.int32))
+
+    return number(F.col("doc_id").cast("double"), F.col("key"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import chunks, shuffle_partitions, text_or_empty
+from .common import chunks, id_range, shuffle_partitions, text_or_empty
 
 #: Code points in a k-mer (a power of two), hash functions, k-mers each selects.
 K, SIGNATURES, PICK = 8, 32, 2
@@ -117,19 +117,7 @@ def _ranges(rows: DataFrame, ranges: int) -> tuple[DataFrame, int]:
     before with ``tail`` set, and that of the first bucket in the last one. The driver handles one
     number per bucket.
     """
-    ids = rows.select(F.col("doc_id").cast("double").alias("x"))
-    cuts = ids.approxQuantile("x", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
-    cuts = np.unique(np.array([c for c in cuts or [] if c is not None], dtype=np.float64))
-
-    @arrow_udf("int")
-    def bucket(x: pa.Array, key: pa.Array) -> pa.Array:
-        values = x.to_numpy(zero_copy_only=False).astype(np.float64)
-        by_key = (key.to_numpy(zero_copy_only=False).astype(np.float64) / 2.0**64 + 0.5) * ranges
-        found = len(cuts) - np.searchsorted(cuts, values, side="right")
-        null = x.is_null().to_numpy(zero_copy_only=False)
-        return pa.array(np.where(null, len(cuts) + 1 + np.clip(by_key, 0, ranges - 1).astype(np.int64), found).astype(np.int32))
-
-    numbered = rows.withColumn("bucket", bucket(F.col("doc_id").cast("double"), F.col("key")))
+    numbered = rows.withColumn("bucket", id_range(rows, ranges, descending=True))
     heads = numbered.groupBy("bucket").agg(F.max(F.struct("doc_id", F.bitwise_not("key"))).alias("head"))
     heads = sorted((r["bucket"], r["head"][1]) for r in heads.collect())
     before = {b: heads[i - 1][0] for i, (b, _) in enumerate(heads)}

@@ -12,6 +12,7 @@ from .fingerprints import op2_fingerprint
 from .langid import op4_language
 from .mixing import op3_mixing
 from .pii import op1_pii
+from .repeats import op6_repeats
 from .simhash import op5_simhash
 from .toxicity import op10_toxicity
 from .urls import op7_urls
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op4_language": op4_language,
         "op5_simhash": op5_simhash,
+        "op6_repeats": op6_repeats,
         "op7_urls": op7_urls,
         "op8_chat": op8_chat,
         "op9_decontaminate": op9_decontaminate,

@@ -27,24 +27,25 @@ BUCKETS, GRAMS = 1 << 14, (3, 4, 5)
 #: URLs are blocked from this score on.
 CUT = 0.5
 
-_BAD = "casino poker betting jackpot porn xxx escort viagra pills spam malware phishing warez crack torrent scam clickbait linkfarm".split()
-_GOOD = "news blog wiki museum library weather recipes garden school history science travel music sports docs forum market city health film".split()
-_HOSTS = ("www.{w}.example.com", "{w}.example.net", "m.best-{w}.example.org", "{w}-farm.example.com", "my{w}.example.net")
-_PATHS = ("/en/{n}.html", "/{w}/{n}", "/fr/{n}/", "/de/{n}?page=2&ref=x")
+_BAD = "casino poker betting jackpot porn xxx escort viagra pills spam malware phishing warez crack torrent scam clickbait linkfarm cheap replica adserver tracker".split()
+_GOOD = "news blog wiki museum library weather recipes garden school history science travel music sports docs forum market city health film calendar gallery".split()
+#: Hosts and paths are the same for either kind, so only the words tell them apart.
+_HOSTS = ("www.{w}.example.com", "{w}-site.example.net", "m.my-{w}.example.org")
+_PATHS = ("/en/{n}.html", "/fr/{n}/", "/de/{n}?page=2&ref=x", "/es/{n}#top")
 
 
 def default_table() -> list[tuple[str, bool]]:
-    """The small labelled table: (url, is to be blocked), a few forms of each word and some neutral hosts."""
+    """The small labelled table: (url, is to be blocked), three forms of each word and some neutral hosts."""
     rows = []
-    for bad, words in ((True, _BAD), (False, _GOOD)):
-        for i, w in enumerate(words):
-            for j in range(2):
-                host, path = _HOSTS[(i + 2 * j) % len(_HOSTS)], _PATHS[(i + j) % len(_PATHS)]
-                rows.append((f"https://{host.format(w=w)}{path.format(w=w, n=17 * i + j)}", bad))
-    vowels, consonants = "aeiou", "bdfglmnprst"
-    for i in range(40):  # names made of plain syllables
-        name = "".join(consonants[(i * 7 + k * 5) % 11] + vowels[(i * 3 + k) % 5] for k in range(3))
-        rows.append((f"https://{('www', 'm', 'blog', 'shop')[i % 4]}.{name}.example.{('com', 'net', 'org')[i % 3]}/en/{i * 97}", False))
+    for i, pair in enumerate(zip(_BAD, _GOOD)):
+        for j, host in enumerate(_HOSTS):
+            path = _PATHS[(i + j) % len(_PATHS)].format(n=397 * (3 * i + j) % 9973)
+            rows += [(f"https://{host.format(w=w)}{path}", bad) for w, bad in zip(pair, (True, False))]
+    first, vowels, last = "bdfglmnprsth", "aeiou", "nrstdlm"
+    for i in range(60):  # names made of plain syllables
+        name = "".join(first[(i * 7 + k * 5) % 12] + vowels[(i * 3 + k) % 5] + last[(i + 3 * k) % 7] for k in range(2))
+        path = _PATHS[i % 4].format(n=i * 163 % 9973)
+        rows.append((f"https://{('www', 'm', 'blog', 'shop')[i % 4]}.{name}.example.{('com', 'net', 'org')[i % 3]}{path}", False))
     return rows
 
 
@@ -82,7 +83,7 @@ class UrlModel:
         return float(1 / (1 + np.exp(-x)))
 
 
-def train_url_model(table: Sequence[tuple[str, bool]] | None = None, steps: int = 300, rate: float = 2.0, decay: float = 1e-4) -> UrlModel:
+def train_url_model(table: Sequence[tuple[str, bool]] | None = None, steps: int = 1500, rate: float = 8.0, decay: float = 1e-5) -> UrlModel:
     """Gradient descent on the logistic loss over the whole (small) table; deterministic.
 
     An empty table blocks nothing; one with a single class learns that class's bias.
