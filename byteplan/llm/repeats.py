@@ -38,7 +38,7 @@ PLACES = WINDOW - ANCHOR + 1
 #: An anchor with more distinct contexts than this sends single windows.
 CROWDED = 4096
 #: Bytes of text that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Answers to a range: the context came before; sort its windows; sort them one by one.
 SEEN, SORT, SINGLE = 1, 2, 3
 
@@ -111,6 +111,8 @@ def _run_ids(anchors: np.ndarray, contexts: np.ndarray) -> np.ndarray:
 
 
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Partition of each key; anchors are least hashes, so their upper bits must be mixed first."""
+    keys = _mix(keys ^ np.uint64(_BASE))
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
 
 
