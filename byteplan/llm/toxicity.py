@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -134,15 +134,14 @@ def _best_threshold(raw: np.ndarray, labels: np.ndarray) -> float:
     return float(np.clip((raw[order[best]] + lower) / 2, 0.02, 0.98))
 
 
-def train_toxicity_model(labelled: DataFrame, per_class: int = PER_CLASS, seed: int = 42) -> ToxicityModel:
-    """Fit on (doc_id, text, lang, toxic): at most ``per_class`` documents of each class.
+def fit_toxicity(rows: list[Row], seed: int = 42) -> ToxicityModel:
+    """Fit on rows of (text, lang, toxic), a bounded number.
 
     Four fifths train the network, one fifth (by turns) calibrates the thresholds. ``lang`` serves only to
     learn which words belong to which language; null counts as a language of its own.
     """
-    rows = labelled.filter(F.col("toxic").isin(0, 1) & (F.length(text_or_empty()) <= MAX_CHARS))
-    rows = sample_per_label(rows.select("doc_id", "toxic", text_or_empty().alias("text"), F.coalesce("lang", F.lit("")).alias("lang")), "toxic", per_class, "doc_id", seed)
     none = ToxicityModel(None, np.zeros((VOCABULARY, 1)), np.full(1, 0.5))
+    rows = [Row(text=r["text"] or "", lang=r["lang"] or "", toxic=r["toxic"]) for r in rows]
     labels = np.array([r["toxic"] for r in rows], dtype=np.int64)
     if len(set(labels.tolist())) < 2:
         return none
@@ -172,11 +171,19 @@ def train_toxicity_model(labelled: DataFrame, per_class: int = PER_CLASS, seed:
     return model
 
 
-def toxicity_model(documents: DataFrame, labels: DataFrame, **options) -> ToxicityModel:
-    """Learn from the labelled documents outside the held-out fold (crc32 of the id mod 3 is 1)."""
-    known = labels.select(F.col("doc_id").alias("label_id"), "toxic").filter(~in_fold(F.col("label_id"), 3, 1))
-    rows = documents.join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "lang", "toxic")
-    return train_toxicity_model(rows, **options)
+def toxicity_model(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 42) -> ToxicityModel:
+    """Learn from labelled documents outside the held-out fold (crc32 of the id mod 3 is 1).
+
+    At most ``per_class`` labels of each class are drawn from the labels alone; that bounded list goes to the
+    documents, so no text is shuffled. Texts over ``MAX_CHARS`` are not fetched, nor are labels that are null.
+    """
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & ~in_fold(F.col("doc_id"), 3, 1))
+    drawn = sample_per_label(known.distinct(), "toxic", per_class, "doc_id", seed)
+    ids = documents.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in drawn], f"id {labels.schema['doc_id'].dataType.simpleString()}, toxic int")
+    short = documents.select("doc_id", "text", "lang").filter(F.length(text_or_empty()) <= MAX_CHARS)
+    rows = short.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("doc_id", "text", "lang", "toxic")
+    rows = rows.dropDuplicates(["doc_id", "toxic"]).collect()
+    return fit_toxicity(sorted(rows, key=lambda r: (r["toxic"], r["doc_id"], r["text"] or "")), seed)
 
 
 def toxicity_score(model: ToxicityModel, text: Column) -> Column:
