@@ -8,6 +8,7 @@ follows links. ``parse`` prefers the nearest of equally long matches among at mo
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -107,8 +108,9 @@ def parse_far(data: bytes, min_match: int = 4, window: int = 4096) -> list[Token
         best, source, most = 0, -1, min(n - at, MAX_MATCH)
         if most >= min_match:
             found = places.get(data[at : at + min_match], ())
-            first = next((k for k in range(len(found) - 1, -1, -1) if found[k] < at - window), -1) + 1
-            for candidate in found[first:]:
+            for candidate in found[bisect_left(found, at - window) :]:
+                if data[candidate + best] != data[at + best]:
+                    continue
                 length = _common(data, candidate, at, most)
                 if length > best:
                     best, source = length, candidate

@@ -8,7 +8,7 @@ left. Two ways compete, structure first and LZ first, and every result is run be
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -91,35 +91,36 @@ def delta_gain(data: bytes) -> tuple[int, bytes] | None:
     return (gain, changed) if gain > 0 else None
 
 
-def repeated_substrings(data: bytes, length: int) -> list[tuple[int, int]]:
-    """(first place, overlapping count) of every substring of this length that occurs twice or more."""
-    n = len(data) - length + 1
-    if n < 2:
-        return []
-    view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), length)
-    keys = np.ascontiguousarray(view).view(f"V{length}").ravel() if n * length <= 1 << 16 else None
-    if keys is None:  # hash first; equal hashes are told apart below
-        powers = np.full(length, 131, np.uint64).cumprod()
-        keys = view.astype(np.uint64) @ powers
-        _, first, counts = np.unique(keys, return_index=True, return_counts=True)
-    else:
-        _, first, counts = np.unique(keys, return_index=True, return_counts=True)
-    keep = counts >= 2
-    return sorted(zip(first[keep].tolist(), counts[keep].tolist()))
+def repeated_substrings(data: bytes, shortest: int, longest: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """For each length, (overlapping count, first place) of every substring that occurs twice or more.
+
+    A substring repeats only if the one a byte shorter does, so each length looks only at places that are
+    left from the one before. Substrings are told apart by 64-bit hashes.
+    """
+    values = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+    at = np.arange(len(data) - shortest + 1)
+    keys = np.zeros(max(0, len(at)), np.uint64)
+    for i in range(shortest):
+        keys = keys * np.uint64(0x100000001B3) + values[i : i + len(at)]
+    for length in range(shortest, longest + 1):
+        _, first, group, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        repeated = counts >= 2
+        if not repeated.any():
+            return
+        yield length, list(zip(counts[repeated].tolist(), at[first[repeated]].tolist()))
+        keep = repeated[group] & (at + length < len(data))
+        at, keys = at[keep], keys[keep] * np.uint64(0x100000001B3) + values[at[keep] + length]
 
 
 def best_macro(data: bytes, macro: int) -> tuple[int, bytes] | None:
-    """(gain, pattern) of the best macro of 8 to 64 bytes in one literal; shorter and earlier first on ties."""
+    """(gain, pattern) of the best macro of 8 to 64 bytes in one literal; shorter, then more frequent, then earlier first on ties."""
     low, high = MACRO_LENGTHS
     best: tuple[int, bytes] | None = None
-    if len(data) > MAX_SEARCHED:
+    if not MIN_USES * low <= len(data) <= MAX_SEARCHED:
         return None
-    for length in range(low, min(high, len(data) // MIN_USES) + 1):
-        found = repeated_substrings(data, length)
-        if not found:
-            break  # longer ones cannot repeat either
-        for first, most in sorted(found, key=lambda f: (-f[1], f[0])):
-            if best and macro_gain(length, most, macro) <= best[0]:
+    for length, found in repeated_substrings(data, low, min(high, len(data) // MIN_USES)):
+        for most, first in sorted(found, key=lambda f: (-f[0], f[1])):
+            if macro_gain(length, most, macro) <= (best[0] if best else 0):
                 break
             pattern = data[first : first + length]
             uses = data.count(pattern)
