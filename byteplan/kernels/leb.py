@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from .errors import VmError
 
 LIMIT = 1 << 32
 
 
+@lru_cache(maxsize=1 << 16)
 def encode(n: int) -> bytes:
     """The shortest encoding, 1 to 5 bytes."""
     if not 0 <= n < LIMIT:

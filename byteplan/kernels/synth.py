@@ -32,7 +32,10 @@ class Piece:
     open: bool = True
 
     def code(self) -> bytes:
-        return bytes([0]) + leb.encode(len(self.data)) + self.data if self.open else self.data
+        return b"\0" + leb.encode(len(self.data)) + self.data if self.open else self.data
+
+    def size(self) -> int:
+        return _literal_size(len(self.data)) if self.open else len(self.data)
 
 
 @dataclass
@@ -47,7 +50,7 @@ class Program:
 
     def size(self) -> int:
         """Bytes of the main program and of the macros with four bytes for each one's header."""
-        return sum(len(p.code()) for p in self.pieces) + sum(4 + len(m) for m in self.macros.values())
+        return sum(p.size() for p in self.pieces) + sum(4 + len(m) for m in self.macros.values())
 
     def ratio(self) -> float:
         return self.size() / self.input_len if self.input_len else 1.0
@@ -112,6 +115,20 @@ def repeated_substrings(data: bytes, shortest: int, longest: int) -> Iterator[tu
         at, keys = at[keep], keys[keep] * np.uint64(0x100000001B3) + values[at[keep] + length]
 
 
+def repeats(data: bytes, length: int) -> bool:
+    """Whether some substring of this length occurs twice (by 64-bit hashes of doubled length)."""
+    if len(data) <= length:
+        return False
+    base, done = 0x100000001B3, 1
+    keys = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+    while done * 2 <= length:
+        keys = keys[:-done] * np.uint64(pow(base, done, 1 << 64)) + keys[done:]
+        done *= 2
+    keys = keys[: len(data) - length + 1] * np.uint64(pow(base, length, 1 << 64)) + keys[length - done :]
+    keys.sort()
+    return bool((keys[1:] == keys[:-1]).any())
+
+
 def best_macro(data: bytes, macro: int) -> tuple[int, bytes] | None:
     """(gain, pattern) of the best macro of 8 to 64 bytes in one literal; shorter, then more frequent, then earlier first on ties."""
     low, high = MACRO_LENGTHS
@@ -170,6 +187,8 @@ def best_long_macro(data: bytes, macro: int) -> tuple[int, bytes] | None:
     low, high = LONG_LENGTHS
     if not MIN_SUFFIXED <= len(data) <= MAX_SEARCHED or len(data) < low * MIN_USES:
         return None
+    if not repeats(data, low):
+        return None
     order = suffix_array(data)
     shared = np.minimum(common_prefixes(data, order), high)
     long = np.concatenate(([False], shared >= low, [False]))
