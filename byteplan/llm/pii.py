@@ -143,8 +143,9 @@ def find_pii(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text
             hits = F.when(F.contains("pii_text", F.lit(rule.needs)), hits).otherwise(F.array().cast("array<string>"))
         out = out.withColumn(f"pii_hits_{i}", hits)
     found = [F.expr(_spans_of(r, i, f"pii_hits_{i}", "pii_text")) for i, r in enumerate(rules)]
-    out = out.withColumn("pii_base", F.concat(*[f for f, r in zip(found, rules) if r.base]))
-    out = out.withColumn("pii_more", F.concat(*[f for f, r in zip(found, rules) if not r.base]))
+    none = F.array().cast(f"array<{_SPAN}>")
+    out = out.withColumn("pii_base", F.concat(none, *[f for f, r in zip(found, rules) if r.base]))
+    out = out.withColumn("pii_more", F.concat(none, *[f for f, r in zip(found, rules) if not r.base]))
     free = F.filter(
         "pii_more", lambda x: ~F.exists("pii_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     )

@@ -62,12 +62,16 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(_LOWER), _PATH_END.split(rest[len(host) :], maxsplit=1)[0]
 
 
+_PIECE = re.compile(r"[^/._~%=-]+")
+
+
 def grams(host: str, path: str) -> np.ndarray:
-    """Buckets of the distinct n-grams of host and path, kept apart and marked at their ends."""
+    """Buckets of the distinct n-grams of the words of host and path, kept apart; words are marked at their ends."""
     found = set()
-    for kind, text in (("h", f"<{host}>" if host else ""), ("p", f"<{path}>" if path else "")):
-        data = text.encode("utf-8", "surrogatepass")
-        found.update(zlib.crc32(kind.encode() + data[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(data) - n + 1))
+    for kind, text in ((b"h", host), (b"p", path)):
+        for word in _PIECE.findall(text):
+            data = f"<{word}>".encode("utf-8", "surrogatepass")
+            found.update(zlib.crc32(kind + data[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(data) - n + 1))
     return np.array(sorted(found), dtype=np.int64)
 
 
