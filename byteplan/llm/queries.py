@@ -11,12 +11,15 @@ from .decontaminate import op9_decontaminate
 from .fingerprints import op2_fingerprint
 from .langid import op4_language
 from .mixing import op3_mixing
+from .oracles import oracle_sql
 from .pii import op1_pii
 from .repeats import op6_repeats
 from .simhash import op5_simhash
 from .toxicity import op10_toxicity
 from .urls import op7_urls
 
+__all__ = ["oracle_sql", "queries"]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -31,7 +34,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontaminate": op9_decontaminate,
         "op10_toxicity": op10_toxicity,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
