@@ -79,7 +79,7 @@ def synthesized(data: bytes) -> dict:
     return {
         "data_class": r.data_class, "structure_first": r.structure_first, "lz_ratio": r.lz_ratio, "ratio": r.program.ratio(),
         "program": r.program.code(), "macros": list(r.program.macros.items()), "metrics": r.metrics,
-        "size": r.program.size(), "literals": b"".join(r.program.literals()),
+        "size": r.program.size(), "literals": r.program.literals(),
     }
 
 
@@ -136,7 +136,7 @@ KERNELS: dict[str, tuple[Callable, str]] = {
     "find_rows": (lambda data: scan_summary(data), "struct<prefix:binary,n_rows:int,template:binary,params:array<binary>,suffix:binary>"),
     "json_member_keys": (lambda data: json_keys(data), "array<string>"),
     "suffix_order": (lambda data: synth.suffix_array(data).tolist(), "array<bigint>"),
-    "synthesize": (lambda data: synthesized(data), f"struct<data_class:string,structure_first:boolean,lz_ratio:double,ratio:double,program:binary,macros:map<int,binary>,metrics:{_METRICS},size:bigint,literals:binary>"),
+    "synthesize": (lambda data: synthesized(data), f"struct<data_class:string,structure_first:boolean,lz_ratio:double,ratio:double,program:binary,macros:map<int,binary>,metrics:{_METRICS},size:bigint,literals:array<binary>>"),
     "run_with_macros": (lambda program, macros: vm.run(program, dict(macros or [])), "binary"),
     "encode_blob": (lambda data: containers.encode_blob(data), "binary"),
     "decode_blob": (lambda data: containers.decode_blob(data), "binary"),

@@ -37,8 +37,8 @@ def mine_dictionary(blobs: DataFrame, min_size: int = MIN_MINED) -> dict[bytes,
     the driver.
     """
     large = blobs.filter(F.col("length") > min_size)
-    literals = large.select(F.lit("all").alias("corpus"), "path", _K["synthesize"]("content")["literals"].alias("content"))
-    literals = literals.withColumn("length", F.octet_length("content").cast("bigint"))
+    literals = large.select(F.lit("all").alias("corpus"), "path", _K["synthesize"]("content")["literals"].alias("pieces"))
+    literals = literals.withColumn("length", F.size("pieces"))  # blobs that are all structure do not count
     patterns = mining.strided_dictionary(literals)
     rows = patterns.collect()
     found = {bytes(r["key"]): bytes(r["pattern"]) for r in rows}
@@ -134,7 +134,7 @@ def _decode(e: containers.Entry, data: bytes, dictionary: Mapping[bytes, bytes])
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.mcar").option("recursiveFileLookup", "true").load(path)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.archive").option("recursiveFileLookup", "true").load(path)
 
 
 def list_archive(spark: SparkSession, path: str) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from ..kernels import containers
 from ..kernels.errors import FormatError
 
+#: Names of archive files in a folder; a file named directly may have any.
+SUFFIX = ".archive"
 _SCHEMA = "path string, method string, original_size bigint, compressed_size bigint, content binary"
 
 
@@ -36,7 +38,7 @@ def _archives(path: str) -> list[str]:
     if info.type == fs.FileType.File:
         return [inner]
     found = system.get_file_info(fs.FileSelector(inner, recursive=True))
-    return sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".mcar"))
+    return sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(SUFFIX))
 
 
 @dataclass
@@ -122,7 +124,7 @@ class _Writer(DataSourceWriter):
             data = bytes(row["content"])
             frames.append((row["path"], *(lambda m, p, n=len(data): (m, n, p))(*containers.encode_entry(data, force_programs=self.force))))
         system, inner = _open(self.path)
-        file = f"{inner.rstrip('/')}/part-{uuid.uuid4().hex}.mcar"
+        file = f"{inner.rstrip('/')}/part-{uuid.uuid4().hex}{SUFFIX}"
         if frames:
             system.create_dir(inner, recursive=True)
             with system.open_output_stream(file) as f:
@@ -166,7 +168,7 @@ def write_files(archives: DataFrame, path: str) -> None:
     def save(rows: Iterator) -> Iterator[tuple[int]]:
         target, folder = _open(path)
         for row in rows:
-            name = f"{folder.rstrip('/')}/part-{uuid.uuid5(uuid.NAMESPACE_URL, row['first_path']).hex}.mcar"
+            name = f"{folder.rstrip('/')}/part-{uuid.uuid5(uuid.NAMESPACE_URL, row['first_path']).hex}{SUFFIX}"
             with target.open_output_stream(f"{name}.tmp-{os.getpid()}") as f:
                 f.write(bytes(row["data"]))
             target.move(f"{name}.tmp-{os.getpid()}", name)  # a task that runs again writes the same file

@@ -49,10 +49,10 @@ def test_directory_of_files(spark, tmp_path):
 
 
 def test_unsafe_and_damaged_archives(spark, tmp_path):
-    (tmp_path / "bad.mcar").write_bytes(containers.write_archive([("../x", "store", 1, b"a")]))
+    (tmp_path / "bad.archive").write_bytes(containers.write_archive([("../x", "store", 1, b"a")]))
     with pytest.raises(Exception, match="cannot unpack"):
         pack.unpack(spark, str(tmp_path)).collect()
-    (tmp_path / "bad.mcar").write_bytes(containers.write_archive([("x", "zlib", 1, b"junk"), ("y", "store", 1, b"a")]))
+    (tmp_path / "bad.archive").write_bytes(containers.write_archive([("x", "zlib", 1, b"junk"), ("y", "store", 1, b"a")]))
     assert pack.check(spark, str(tmp_path)).select("n", "n_failed").first() == (2, 1)
 
 
