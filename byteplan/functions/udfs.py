@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -97,6 +98,18 @@ def _histogram(data: bytes) -> list[int]:
     return np.bincount(np.frombuffer(data, np.uint8), minlength=256).tolist()
 
 
+def codec_sizes(data: bytes) -> dict:
+    """Sizes by general codecs, to compare with; null where a library is missing."""
+    out = {"zlib_1": len(zlib.compress(data, 1)), "zlib_9": len(zlib.compress(data, 9)), "zstd_1": None, "zstd_19": None}
+    try:
+        import zstandard
+    except ImportError:
+        return out
+    for level in (1, 19):
+        out[f"zstd_{level}"] = len(zstandard.ZstdCompressor(level=level).compress(data))
+    return out
+
+
 def _program_file(data: bytes) -> bytes:
     program = synth.compress(data).program
     return containers.ProgramFile(program.code(), program.macros, deflate=True).encode()
@@ -145,6 +158,7 @@ KERNELS: dict[str, tuple[Callable, str]] = {
     "encode_entry": (lambda data, patterns, force: encoded_entry(data, patterns, force), "struct<method:string,payload:binary>"),
     "decode_entry": (lambda method, payload, patterns: decoded_entry(method, payload, patterns), "binary"),
     "applicability": (lambda data: {k: v for k, v in dictionary.applicability(data).items() if k != "dictionary"}, "struct<total:bigint,cpy_bytes:bigint,lit_bytes:bigint,lz_coverage:double,cpy_count:bigint,avg_cpy_len:double,h_pattern:double,ref_data_coverage:double,predicts:boolean,dictionary_size:bigint>"),
+    "codec_sizes": (lambda data: codec_sizes(data), "struct<zlib_1:bigint,zlib_9:bigint,zstd_1:bigint,zstd_19:bigint>"),
     "safe_path": (lambda path: _safe(path), "boolean"),
 }
 

@@ -165,13 +165,11 @@ def check(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bench(blobs: DataFrame) -> DataFrame:
-    """Class, sizes by each way of encoding, and whether the blob comes back, for each blob."""
-    from ..functions.udfs import kernel
-
-    zlib_size = kernel(lambda data: len(__import__("zlib").compress(data, 9)), "bigint")
+    """Class, sizes by each way of encoding and by general codecs, and whether the blob comes back, for each blob."""
     rows = blobs.withColumn("s", _K["synthesize"]("content")).withColumn("blob", _K["encode_blob"]("content"))
+    rows = rows.withColumn("c", _K["codec_sizes"]("content"))
     return rows.select(
         "path", "length", "s.data_class", "s.structure_first", "s.lz_ratio", F.col("s.ratio").alias("synth_ratio"),
         (F.col("s.lz_ratio") - F.col("s.ratio")).alias("gain"), F.octet_length("blob").cast("bigint").alias("blob_size"),
-        zlib_size("content").alias("zlib_size"), (_K["decode_blob"]("blob") == F.col("content")).alias("round_trip"),
+        "c.*", (_K["decode_blob"]("blob") == F.col("content")).alias("round_trip"),
     )

@@ -535,6 +535,19 @@ def archive_deep(spark, sf_dir):
     return pack.decode_entries(entries, found).select("path", F.md5("content").alias("digest"))
 
 
+@_query("""SELECT printf('logs/%04d.csv', f) AS path, md5(string_agg(r || ',' || (1700000000000 + f * 1000000 + r * 137) || ',INFO,gateway,eu-west,v2.4.1,GET,/api/items,200,ok' || chr(10), '' ORDER BY r)) AS digest, true AS deep
+FROM range(12) a(f), range(300) b(r) GROUP BY f""")
+def log_corpus(spark, sf_dir):
+    from .plans.corpora import log_corpus as make
+
+    blobs = make(spark, files=12, rows=300)
+    found = pack.mine_dictionary(blobs, min_size=1024)
+    entries = pack.encode_entries(blobs, found, force_programs=True)
+    back = pack.decode_entries(entries, found).join(entries.select("path", "method", "compressed_size"), "path")
+    body = F.substring("content", 641, F.octet_length("content"))
+    return back.select("path", F.md5(body).alias("digest"), ((F.col("method") == "program") & (F.col("compressed_size") < 2000)).alias("deep"))
+
+
 @_query("SELECT page_id::VARCHAR AS path, octet_length(encode(html)) AS length, true AS round_trip FROM pages")
 def pack_bench(spark, sf_dir):
     return pack.bench(_pages(spark, sf_dir)).select("path", "length", "round_trip")
