@@ -237,8 +237,8 @@ class Synthesizer:
             macro = len(program.macros)
             best: tuple[int, str, object, int] | None = None
             for k, piece in enumerate(program.pieces):
-                if not piece.open:
-                    continue
+                if not piece.open or len(piece.data) < MIN_BODY * MIN_TURNS:
+                    continue  # too short for a loop, and for a macro
                 key = piece.data, leb.size(macro)
                 if key not in known:
                     known[key] = self._options(piece.data, macro)
@@ -255,7 +255,7 @@ class Synthesizer:
             else:
                 program.macros[macro] = Piece(what).code()
                 call = bytes([CALL]) + leb.encode(macro)
-                program.pieces = [q for p in program.pieces for q in (_replace(p.data, {what: call}) if p.open else [p])]
+                program.pieces = [q for p in program.pieces for q in (_replace(p.data, {what: call}) if p.open and what in p.data else [p])]
         if self.maps:
             program.pieces = [q for p in program.pieces for q in self._delta(p)]
 
