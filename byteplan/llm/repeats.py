@@ -57,6 +57,12 @@ def _range_hash(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _mix((sums[b] - sums[a]) * _POWERS[0][len(_POWERS[0]) // 2 - a])
 
 
+def _rolling(sums: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` bytes from each position; as ``_range_hash``, by slices."""
+    count, middle = len(sums) - n, len(_POWERS[0]) // 2
+    return _mix((sums[n:] - sums[:count]) * _POWERS[0][middle - count + 1 : middle + 1][::-1])
+
+
 def _powers(n: int) -> np.ndarray:
     """Powers -n..n of the base, the zeroth in the middle (the base is odd, so it has an inverse)."""
     if not _POWERS or len(_POWERS[0]) < 2 * n + 1:
@@ -81,10 +87,9 @@ def _runs(text: bytes, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     n = len(values)
     powers = _powers(n)
     sums = np.concatenate(([np.uint64(0)], np.cumsum(values * powers[len(powers) // 2 : len(powers) // 2 + n], dtype=np.uint64)))
-    gram_at = np.arange(n - ANCHOR + 1)
-    grams = _range_hash(sums, gram_at, gram_at + ANCHOR)
+    grams = _rolling(sums, ANCHOR)
     bits = np.uint64(21)  # the least hash; of equal ones the first
-    least, width = (grams >> bits << bits) | gram_at.astype(np.uint64), 1
+    least, width = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64), 1
     while width * 2 <= PLACES:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
@@ -102,8 +107,7 @@ def _window_hashes(context: bytes) -> np.ndarray:
     values = _RANDOM[np.frombuffer(context, np.uint8)]
     powers = _powers(len(values))
     sums = np.concatenate(([np.uint64(0)], np.cumsum(values * powers[len(powers) // 2 :][: len(values)], dtype=np.uint64)))
-    at = np.arange(len(values) - WINDOW + 1)
-    return _range_hash(sums, at, at + WINDOW)
+    return _rolling(sums, WINDOW)
 
 
 def _run_ids(anchors: np.ndarray, contexts: np.ndarray) -> np.ndarray:
@@ -309,7 +313,7 @@ def remove_repeats(docs: DataFrame, ranges: int | None = None, crowded: int = CR
 
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    ranges = ranges or 2 * parts
+    ranges = ranges or 4 * parts
     id_type = docs.schema["doc_id"].dataType
     rows = docs.select(
         "doc_id", F.col("doc_id").isNull().alias("none"), F.xxhash64(text_or_empty()).alias("key"),

@@ -21,6 +21,10 @@ DEPTH = 104
 #: Suffixes in one block.
 BLOCK = 1 << 17
 
+#: Buckets of window hashes, several times the windows of a block.
+BUCKET_BITS = 21
+_BASE = 0x9E3779B97F4A7C15
+
 _IN_COVER = np.isin(np.arange(MODULUS), COVER)
 _SHIFT = np.array([[next(d for d in range(MODULUS) if _IN_COVER[(a + d) % MODULUS] and _IN_COVER[(b + d) % MODULUS]) for b in range(MODULUS)] for a in range(MODULUS)])
 
@@ -102,15 +106,40 @@ def repeated_windows(segments: list[bytes], keys: np.ndarray, ranks: np.ndarray)
 
 def _block(segments: list[bytes], block: list[int], ranks: np.ndarray, out: list[np.ndarray]) -> None:
     text = np.frombuffer(b"".join([*(segments[k] for k in block), bytes(DEPTH + 2 * MODULUS)]), np.uint8)
+    for k in block:
+        out[k] = np.zeros(len(segments[k]) - WINDOW + 1, bool)
     lengths = np.array([len(segments[k]) for k in block])
     counts = lengths - WINDOW + 1
     owner = np.repeat(np.arange(len(block)), counts)
     begin = np.cumsum(lengths) - lengths
     inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    order, classes = sort_windows(text, begin[owner] + inner)
-    rank = ranks[np.array(block)][owner][order]
+    starts = begin[owner] + inner
+    may = may_repeat(text, starts)
+    if not may.any():
+        return
+    order, classes = sort_windows(text, starts[may])
+    rank = ranks[np.array(block)][owner[may]][order]
     first = np.minimum.reduceat(rank, np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1]))))
-    repeated = np.empty(len(order), bool)
-    repeated[order] = rank > first[classes]
+    found = np.empty(len(order), bool)
+    found[order] = rank > first[classes]
+    repeated = np.zeros(len(starts), bool)
+    repeated[may] = found
     for k, part in zip(block, np.split(repeated, np.cumsum(counts)[:-1])):
         out[k] = part
+
+
+def may_repeat(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """False for windows whose hash falls into a bucket of its own: they equal no other and need no sorting."""
+    hashes, widths = [text.astype(np.uint64) + np.uint64(1)], [1]
+    while widths[-1] * 2 <= WINDOW:
+        h, w = hashes[-1], widths[-1]
+        hashes.append(h[:-w] * np.uint64(pow(_BASE, w, 1 << 64)) + h[w:])
+        widths.append(2 * w)
+    whole, done = hashes.pop(), widths.pop()
+    for h, w in zip(reversed(hashes), reversed(widths)):
+        if done + w <= WINDOW:
+            count = len(text) - done - w + 1
+            whole = whole[:count] * np.uint64(pow(_BASE, w, 1 << 64)) + h[done : done + count]
+            done += w
+    bucket = ((whole[starts] * np.uint64(_BASE)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    return np.bincount(bucket, minlength=1 << BUCKET_BITS)[bucket] > 1
