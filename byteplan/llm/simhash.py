@@ -34,6 +34,8 @@ SEED = 42
 RADIUS = 2
 #: Cells with more distinct fingerprints than this are searched by neighbour pivots.
 CELL = 64
+#: Fingerprints of more rows than this are spread over so many keys when rows meet their groups.
+HOT, SALTS = 1000, 64
 #: Hashes that are counted bit by bit at once.
 BLOCK = 1 << 16
 
@@ -130,6 +132,22 @@ def near_links(fingerprints: DataFrame, radius: int = RADIUS, cell: int = CELL)
     return pairs.unionByName(stars).distinct()
 
 
+_IDENT = ("doc_id", "key")
+
+
+def _groups(rows: DataFrame, radius: int) -> DataFrame:
+    """(group_fp, n, group_first): each distinct fingerprint, its rows, and the (doc_id, key) its group keeps."""
+    ident = F.struct(F.col("doc_id").isNull(), *_IDENT)
+    distinct = materialize(rows.groupBy("fp").agg(F.min(ident).alias("first"), F.count("*").alias("n")))
+    roots = connected_components(near_links(distinct.select("fp"), radius))
+    linked = distinct.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "first")
+    firsts = linked.groupBy("root").agg(F.min("first").alias("group_first"))
+    linked = linked.join(firsts, "root").select(F.col("fp").alias("linked_fp"), "group_first")
+    return distinct.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(
+        F.col("fp").alias("group_fp"), "n", F.coalesce("group_first", "first").alias("group_first")
+    )
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Groups of near-duplicates: doc_id, key, fp, component_id, keep.
 
@@ -138,26 +156,29 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     its id only if there is no other. ``keep`` marks the one (doc_id, key) of each group to keep:
     the smallest, null last. Null and empty texts have fingerprint zero and link like any other;
     equal rows get equal results. An empty table gives an empty result.
+
+    Rows meet their group in two joins: fingerprints with more than ``HOT`` rows are copied to
+    ``SALTS`` keys, over which their rows are spread; in the second join those rows go anywhere.
     """
     rows = materialize(with_fingerprints(docs))
-    ident = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    distinct = rows.groupBy("fp").agg(F.min(ident).alias("first"))
-    distinct = materialize(distinct)
-    roots = connected_components(near_links(distinct.select("fp"), radius))
-    linked = distinct.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "first")
-    firsts = linked.groupBy("root").agg(F.min("first").alias("group_first"))
-    linked = linked.join(firsts, "root").select(F.col("fp").alias("linked_fp"), "group_first")
-    groups = distinct.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(
-        F.col("fp").alias("group_fp"), F.coalesce("group_first", "first").alias("group_first")
-    )
-    return rows.join(groups, F.col("fp") == F.col("group_fp")).select(
-        "doc_id", "key", "fp", F.col("group_first.doc_id").alias("component_id"), (ident == F.col("group_first")).alias("keep")
+    groups = materialize(_groups(rows, radius))
+    anywhere = F.xxhash64(*_IDENT, F.lit(SEED))
+    hot = groups.filter(F.col("n") > HOT).select(
+        F.col("group_fp").alias("hot_fp"), F.col("group_first").alias("hot_first"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("hot_salt")
     )
+    rows = rows.withColumn("salt", F.pmod(anywhere, F.lit(SALTS)).cast("int"))
+    rows = rows.join(hot, (F.col("fp") == F.col("hot_fp")) & (F.col("salt") == F.col("hot_salt")), "left")
+    rows = rows.withColumn("cold_fp", F.when(F.col("hot_first").isNull(), F.col("fp")).otherwise(anywhere))
+    rows = rows.join(groups.filter(F.col("n") <= HOT), F.col("cold_fp") == F.col("group_fp"), "left")
+    first = F.coalesce("hot_first", "group_first")
+    ident = F.struct(F.col("doc_id").isNull(), *_IDENT)
+    return rows.select("doc_id", "key", "fp", first["doc_id"].alias("component_id"), (ident == first).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, columns as they were."""
-    kept = near_duplicates(docs, radius).filter("keep").select(F.col("doc_id").alias("nd_id"), F.col("key").alias("nd_key")).distinct()
+    first = F.col("group_first")
+    kept = _groups(materialize(with_fingerprints(docs)), radius).select(first["doc_id"].alias("nd_id"), first["key"].alias("nd_key")).distinct()
     keyed = docs.withColumn("nd_doc_key", F.xxhash64(text_or_empty()))
     on = F.col("doc_id").eqNullSafe(F.col("nd_id")) & (F.col("nd_doc_key") == F.col("nd_key"))
     return keyed.join(kept, on, "left_semi").dropDuplicates(["doc_id", "nd_doc_key"]).drop("nd_doc_key")
