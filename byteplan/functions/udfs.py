@@ -119,6 +119,11 @@ def _delta(data: bytes) -> int:
     return (synth.delta_gain(data) or (0, b""))[0]
 
 
+def _macro(search: Callable, data: bytes) -> dict | None:
+    found = search(data, 0)
+    return found and {"gain": found[0], "pattern": found[1]}
+
+
 def _safe(path: str) -> bool:
     try:
         return containers.safe_path(path) == path
@@ -158,6 +163,10 @@ KERNELS: dict[str, tuple[Callable, str]] = {
     "encode_entry": (lambda data, patterns, force: encoded_entry(data, patterns, force), "struct<method:string,payload:binary>"),
     "decode_entry": (lambda method, payload, patterns: decoded_entry(method, payload, patterns), "binary"),
     "applicability": (lambda data: {k: v for k, v in dictionary.applicability(data).items() if k != "dictionary"}, "struct<total:bigint,cpy_bytes:bigint,lit_bytes:bigint,lz_coverage:double,cpy_count:bigint,avg_cpy_len:double,h_pattern:double,ref_data_coverage:double,predicts:boolean,dictionary_size:bigint>"),
+    "best_macro": (lambda data: _macro(synth.best_macro, data), "struct<gain:bigint,pattern:binary>"),
+    "best_long_macro": (lambda data: _macro(synth.best_long_macro, data), "struct<gain:bigint,pattern:binary>"),
+    "split_fields": (lambda line: rows.split_fields(line, b","), "array<binary>"),
+    "mine_patterns": (lambda data: list(dictionary.mine(data).values()), "array<binary>"),
     "codec_sizes": (lambda data: codec_sizes(data), "struct<zlib_1:bigint,zlib_9:bigint,zstd_1:bigint,zstd_19:bigint>"),
     "safe_path": (lambda path: _safe(path), "boolean"),
 }

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.builtin import apply_magic
 from ..functions.udfs import functions
 from ..kernels import containers
 from ..kernels.errors import FormatError, VmError
@@ -47,13 +48,20 @@ def mine_dictionary(blobs: DataFrame, min_size: int = MIN_MINED) -> dict[bytes,
     return found if rows and net_gain(found, rows[0]["seen"]) >= MIN_NET_GAIN else {}
 
 
-def encode_entries(blobs: DataFrame, dictionary: Mapping[bytes, bytes] | None = None, force_programs: bool = False) -> DataFrame:
-    """Blobs as archive entries: path, method, original_size, compressed_size, payload."""
-    pairs = _pairs(dictionary)
-    entry = _K["encode_entry"]("content", pairs, F.lit(force_programs))
-    return blobs.withColumn("e", entry).select(
-        "path", "e.method", F.col("length").alias("original_size"), F.octet_length("e.payload").cast("bigint").alias("compressed_size"), "e.payload"
-    )
+def encode_entries(
+    blobs: DataFrame, dictionary: Mapping[bytes, bytes] | None = None, force_programs: bool = False, max_memory: int = containers.MAX_MEMORY
+) -> DataFrame:
+    """Blobs as archive entries: path, method, original_size, compressed_size, payload.
+
+    Blobs over ``max_memory`` and those that begin like a compressed format are stored without going
+    through a kernel.
+    """
+    stored = (F.col("length") > max_memory) | apply_magic(F.col("content"))
+    sizes = [F.col("length").alias("original_size"), F.octet_length("payload").cast("bigint").alias("compressed_size"), "payload"]
+    plain = blobs.filter(stored).select("path", F.lit("store").alias("method"), "length", F.col("content").alias("payload"))
+    entry = _K["encode_entry"]("content", _pairs(dictionary), F.lit(force_programs))
+    rest = blobs.filter(~stored).select("path", "length", entry.alias("e")).select("path", "e.method", "length", "e.payload")
+    return plain.unionByName(rest).select("path", "method", *sizes)
 
 
 def decode_entries(entries: DataFrame, dictionary: Mapping[bytes, bytes] | None = None) -> DataFrame:
@@ -94,12 +102,12 @@ def archives(entries: DataFrame, dictionary: Mapping[bytes, bytes] | None = None
     return ordered.mapInArrow(run, "first_path string, n long, data binary")
 
 
-def pack(blobs: DataFrame, path: str, deep: bool = False) -> None:
+def pack(blobs: DataFrame, path: str, deep: bool = False, max_memory: int = containers.MAX_MEMORY) -> None:
     """Write blobs as archives under ``path``; ``deep`` mines a dictionary first."""
     from ..sources.archive import write_files
 
     dictionary = mine_dictionary(blobs) if deep else None
-    write_files(archives(encode_entries(blobs, dictionary, force_programs=deep), dictionary), path)
+    write_files(archives(encode_entries(blobs, dictionary, deep, max_memory), dictionary), path)
 
 
 def archive_entries(files: DataFrame, with_content: bool = False) -> DataFrame:

@@ -218,6 +218,15 @@ def ngram_candidates(spark, sf_dir):
     return found.select(F.col("path").cast("bigint").alias("item_id"), F.hex("pattern").alias("pattern"), "n")
 
 
+@_query("""WITH b AS (SELECT item_id, text AS t, length(text) AS n FROM benchmark WHERE length(text) = octet_length(encode(text))),
+g AS (SELECT DISTINCT item_id, t, w, substr(t, i::INT, w::INT) AS p FROM b, range(8, 65) v(w), range(1, 1000) r(i) WHERE w <= n // 2 AND i + w - 1 <= n),
+u AS (SELECT item_id, w, (length(t) - length(replace(t, p, ''))) // w AS u FROM g)
+SELECT item_id, coalesce(max(u * w - w - 6) FILTER (u >= 2 AND u * w - w - 6 > 0), 0)::BIGINT AS gain FROM b LEFT JOIN u USING (item_id) GROUP BY ALL""")
+def best_macros(spark, sf_dir):
+    rows = _table(spark, sf_dir, "benchmark").filter(F.length("text") == F.octet_length("text"))
+    return rows.select("item_id", F.coalesce(_K["best_macro"](F.col("text").cast("binary"))["gain"], F.lit(0)).cast("bigint").alias("gain"))
+
+
 @_query("""SELECT doc_id, ((length(text) - length(replace(text, 'ing', ''))) // 3)::BIGINT AS n,
   (length(text) - length(replace(text, chr(10), '')))::BIGINT AS newlines, instr(text, 'tion')::INT AS first FROM documents""")
 def nonoverlap_count(spark, sf_dir):
@@ -262,6 +271,14 @@ def delimiter_runs(spark, sf_dir):
     return profiling.delimiter_runs(_order_lines(spark, sf_dir), ",")
 
 
+@_query(f"""WITH {_ORDER_LINES_SQL} SELECT f AS path, n::INT AS line_no, len(x)::INT AS n_fields, array_to_string(x, ';') AS fields
+FROM (SELECT f, n, regexp_extract_all(l, '((?:"[^"]*"|[^,"])+)', 1) AS x FROM lines)""")
+def quoted_fields(spark, sf_dir):
+    rows = _order_lines(spark, sf_dir).withColumn("x", _K["split_fields"](F.col("line").cast("binary")))
+    joined = F.array_join(F.transform("x", lambda b: b.cast("string")), ";")
+    return rows.select("path", "line_no", F.size("x").alias("n_fields"), joined.alias("fields"))
+
+
 @_query("""SELECT 'o_orderstatus' AS "column", count(DISTINCT o_orderstatus) AS n_values, count(DISTINCT o_orderstatus) <= 1 AS fixed FROM orders
 UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority), count(DISTINCT o_orderpriority) <= 1 FROM orders
 UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey), count(DISTINCT o_custkey) <= 1 FROM orders""")

@@ -175,3 +175,19 @@ def write_files(archives: DataFrame, path: str) -> None:
         return iter(())
 
     archives.foreachPartition(save)
+
+
+def write_blobs(blobs: DataFrame, path: str) -> None:
+    """Write (path, content) rows as files under a shared folder, from the executors; unsafe paths are errors."""
+
+    def save(rows: Iterator) -> Iterator[tuple[int]]:
+        target, folder = _open(path)
+        for row in rows:
+            name = f"{folder.rstrip('/')}/{containers.safe_path(row['path'])}"
+            target.create_dir(os.path.dirname(name), recursive=True)
+            with target.open_output_stream(f"{name}.tmp-{os.getpid()}") as f:
+                f.write(bytes(row["content"]))
+            target.move(f"{name}.tmp-{os.getpid()}", name)
+        return iter(())
+
+    blobs.select("path", "content").foreachPartition(save)

@@ -93,3 +93,22 @@ def test_streams(spark, blobs, tmp_path):
     query.stop()
     want = mining.strided_counts(blobs, (16,)).select("pattern", "files")
     assert spark.table("counts").exceptAll(want).count() == 0 and want.count() == spark.table("counts").count()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from byteplan.__main__ import main
+
+    folder = tmp_path / "in"
+    (folder / "sub").mkdir(parents=True)
+    (folder / "sub" / "log.txt").write_bytes(LOG)
+    (folder / "x").write_bytes(b"tiny")
+    main(["pack", str(folder), "-o", str(tmp_path / "packed"), "--deep", "--max-memory", "100000"])
+    main(["list", str(tmp_path / "packed")])
+    assert "KB" in capsys.readouterr().out
+    main(["check", str(tmp_path / "packed")])
+    main(["unpack", str(tmp_path / "packed"), "-o", str(tmp_path / "out")])
+    assert (tmp_path / "out" / "sub" / "log.txt").read_bytes() == LOG and (tmp_path / "out" / "x").read_bytes() == b"tiny"
+    main(["compress", str(folder / "x"), "-o", str(tmp_path / "x.blob")])
+    main(["decompress", str(tmp_path / "x.blob"), "-o", str(tmp_path / "x.back")])
+    assert (tmp_path / "x.back").read_bytes() == b"tiny"
+    main(["bench", str(folder)])
