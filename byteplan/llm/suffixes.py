@@ -29,26 +29,25 @@ _IN_COVER = np.isin(np.arange(MODULUS), COVER)
 _SHIFT = np.array([[next(d for d in range(MODULUS) if _IN_COVER[(a + d) % MODULUS] and _IN_COVER[(b + d) % MODULUS]) for b in range(MODULUS)] for a in range(MODULUS)])
 
 
-def _words(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """The ``length`` bytes from each position as big-endian 64-bit words: (positions, length / 8)."""
+def _sorted_groups(text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings of ``length`` bytes at these places, and along it the number of each run of equal ones."""
     view = np.lib.stride_tricks.sliding_window_view(text, length)
-    return np.ascontiguousarray(view[at]).view(">u8").astype(np.uint64)
-
-
-def _sorted_groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows of ``keys``, and for each place in it the number of its run of equal rows."""
-    order = np.lexsort(keys.T[::-1])
+    keys = np.ascontiguousarray(view[at]).view(f"S{length}").ravel()  # all of one length, so padding says nothing
+    order = np.argsort(keys, kind="stable")
     ranked = keys[order]
-    return order, np.concatenate(([0], np.cumsum((ranked[1:] != ranked[:-1]).any(axis=1))))
-
-
-def cover_ranks(text: np.ndarray, last: int) -> np.ndarray:
-    """Rank of each cover position up to ``last`` by its next ``DEPTH`` bytes; -1 elsewhere."""
-    at = np.flatnonzero(_IN_COVER[np.arange(last + 1) % MODULUS])
-    ranks = np.full(last + 1, -1, np.int64)
-    if len(at):
-        order, groups = _sorted_groups(_words(text, at, DEPTH))
-        ranks[at[order]] = groups
+    return order, np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
+
+
+def cover_ranks(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Rank of each cover position within a shift of a start by its next ``DEPTH`` bytes; -1 elsewhere."""
+    size = int(starts.max()) + MODULUS + 1
+    reach = np.zeros(size, np.int32)
+    np.add.at(reach, starts, 1)
+    np.add.at(reach, starts + MODULUS, -1)
+    at = np.flatnonzero((np.cumsum(reach) > 0) & _IN_COVER[np.arange(size) % MODULUS])
+    ranks = np.full(size, -1, np.int64)
+    order, groups = _sorted_groups(text, at, DEPTH)
+    ranks[at[order]] = groups
     return ranks
 
 
@@ -57,11 +56,11 @@ def sort_windows(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
 
     ``text`` must go on for ``DEPTH + MODULUS`` bytes after the last start (any padding will do).
     """
-    order, group = _sorted_groups(_words(text, starts, PREFIX))
+    order, group = _sorted_groups(text, starts, PREFIX)
     tied = np.bincount(group)[group] > 1
     if tied.any():
-        ranks = cover_ranks(text, int(starts.max()) + MODULUS)
         places = np.flatnonzero(tied)
+        ranks = cover_ranks(text, starts[order[places]])
         at, tie = starts[order[places]], group[places].astype(np.int64)
         draw = np.random.default_rng(len(at))
         while True:
