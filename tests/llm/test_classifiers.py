@@ -85,6 +85,11 @@ def test_sample_is_bounded_and_reproducible(spark):
     assert {r["doc_id"] for r in first} == {r["doc_id"] for r in sampling.sample_per_label(rows.repartition(7), "label", 50, "doc_id")}
 
 
+def test_sample_is_bounded_when_one_id_repeats(spark):
+    rows = spark.range(4000).selectExpr("CASE WHEN id < 3000 THEN 7 ELSE id END AS doc_id", "'x' AS label")
+    assert all(len(sampling.sample_per_label(rows, "label", 20, "doc_id", seed)) <= 20 for seed in range(5))
+
+
 def test_prediction_is_the_plain_network():
     rng = np.random.default_rng(0)
     net = textcnn.TextCnn(vocab=20, classes=3, dim=4, filters=5, widths=(1, 2, 3))
