@@ -30,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Shuffle files go as soon as the table they were for is written.
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -54,6 +55,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let the session hand at most so many rows at a time to Python: batches of long texts take memory on both sides."""
+    if int(spark.conf.get(_BATCH_ROWS)) > rows:
+        spark.conf.set(_BATCH_ROWS, str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

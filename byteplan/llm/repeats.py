@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, id_range, materialize, shuffle_partitions, text_or_empty
+from .common import chunks, id_range, materialize, shuffle_partitions, small_batches, text_or_empty
 from .suffixes import WINDOW, repeated_windows
 
 #: Length of an anchor, and the windows' number of places for it.
@@ -172,6 +172,7 @@ def _answer(table: pa.Table, crowded: int) -> pa.Table:
     keep = np.flatnonzero(code)
     ids = np.stack([_run_ids(anchor[keep], context[keep]), code[keep].astype(np.uint64)], axis=1)
     names, owner = np.unique(buckets[keep], return_inverse=True)
+    pa.default_memory_pool().release_unused()
     return pa.table({"bucket": pa.array(names, pa.int32()), "answers": pa.array(_blobs(ids, owner, len(names)), pa.binary())})
 
 
@@ -243,21 +244,23 @@ def _segments(parts: int):
 
 def _sort_suffixes(table: pa.Table) -> pa.Table:
     """One suffix bucket -> (bucket, marks): (run id, offset of a window that also starts earlier)."""
-    table = table.sort_by("bucket")
     keys, ids, offsets, owners, segments = [], [], [], [], []
-    for row in table.to_pylist():
-        keys.append(np.frombuffer(row["keys"], np.uint64))
-        ids.append(np.frombuffer(row["ids"], np.uint64))
-        offsets.append(np.frombuffer(row["offsets"], np.int32))
-        owners.append(np.full(len(ids[-1]), row["bucket"], np.int32))
-        ends = np.frombuffer(row["ends"], np.int64).tolist()
-        segments += [row["data"][a:b] for a, b in zip([0, *ends], ends)]
+    buckets = table.column("bucket").to_numpy()
+    cell = lambda name, row: table.column(name)[row].as_buffer()
+    for row in np.argsort(buckets, kind="stable").tolist():
+        keys.append(np.frombuffer(cell("keys", row), np.uint64))
+        ids.append(np.frombuffer(cell("ids", row), np.uint64))
+        offsets.append(np.frombuffer(cell("offsets", row), np.int32))
+        owners.append(np.full(len(ids[-1]), buckets[row], np.int32))
+        ends, data = np.frombuffer(cell("ends", row), np.int64).tolist(), memoryview(cell("data", row))
+        segments += [data[a:b] for a, b in zip([0, *ends], ends)]  # views, not copies
     ids, offsets, owners = (np.concatenate(c) for c in (ids, offsets, owners))
     repeated = repeated_windows(segments, np.concatenate(keys), np.arange(len(segments)))
     counts = [int(r.sum()) for r in repeated]
     at = np.concatenate([np.flatnonzero(r) for r in repeated]) + np.repeat(offsets, counts)
     marks = np.stack([np.repeat(ids, counts), at.astype(np.uint64)], axis=1)
     names, owner = np.unique(np.repeat(owners, counts), return_inverse=True)
+    pa.default_memory_pool().release_unused()
     return pa.table({"bucket": pa.array(names, pa.int32()), "marks": pa.array(_blobs(marks, owner, len(names)), pa.binary())})
 
 
@@ -312,6 +315,7 @@ def remove_repeats(docs: DataFrame, ranges: int | None = None, crowded: int = CR
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
+    small_batches(spark)
     parts = shuffle_partitions(spark)
     ranges = ranges or 4 * parts
     id_type = docs.schema["doc_id"].dataType
@@ -324,7 +328,7 @@ def remove_repeats(docs: DataFrame, ranges: int | None = None, crowded: int = CR
     answers = materialize(pairs.groupBy("part").applyInArrow(lambda t: _answer(t, crowded), "bucket int, answers binary"))
     grouped = rows.groupBy("bucket")
     segments = grouped.cogroup(answers.groupBy("bucket")).applyInArrow(
-        _segments(parts), "part int, bucket int, keys binary, ids binary, offsets binary, ends binary, data binary"
+        _segments(2 * parts), "part int, bucket int, keys binary, ids binary, offsets binary, ends binary, data binary"
     )
     marks = materialize(segments.groupBy("part").applyInArrow(_sort_suffixes, "bucket int, marks binary"))
     told = answers.withColumn("marks", F.lit(None).cast("binary")).unionByName(marks.withColumn("answers", F.lit(None).cast("binary")))

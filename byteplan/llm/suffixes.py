@@ -19,10 +19,10 @@ COVER, MODULUS = (1, 5, 11, 24, 25, 27), 31
 #: Bytes by which cover positions are ranked; with any shift, deeper than ``WINDOW``.
 DEPTH = 104
 #: Suffixes in one block.
-BLOCK = 1 << 17
+BLOCK = 1 << 16
 
 #: Buckets of window hashes, several times the windows of a block.
-BUCKET_BITS = 21
+BUCKET_BITS = 20
 _BASE = 0x9E3779B97F4A7C15
 
 _IN_COVER = np.isin(np.arange(MODULUS), COVER)
@@ -78,11 +78,13 @@ def sort_windows(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     same = group[1:] == group[:-1]
     near = np.flatnonzero(same)
     view = np.lib.stride_tricks.sliding_window_view(text, WINDOW)
-    same[near] = (view[ranked[near]] == view[ranked[near + 1]]).all(axis=1)
+    for at in range(0, len(near), 1 << 13):
+        part = near[at : at + (1 << 13)]
+        same[part] = (view[ranked[part]] == view[ranked[part + 1]]).all(axis=1)
     return order, np.concatenate(([0], np.cumsum(~same)))
 
 
-def repeated_windows(segments: list[bytes], keys: np.ndarray, ranks: np.ndarray) -> list[np.ndarray]:
+def repeated_windows(segments: list[bytes | memoryview], keys: np.ndarray, ranks: np.ndarray) -> list[np.ndarray]:
     """For each segment, which of its windows are equal to one of a segment of lower rank.
 
     ``keys`` tell groups of segments apart that cannot share a window; blocks are made of whole groups
@@ -103,7 +105,7 @@ def repeated_windows(segments: list[bytes], keys: np.ndarray, ranks: np.ndarray)
     return out
 
 
-def _block(segments: list[bytes], block: list[int], ranks: np.ndarray, out: list[np.ndarray]) -> None:
+def _block(segments: list[bytes | memoryview], block: list[int], ranks: np.ndarray, out: list[np.ndarray]) -> None:
     text = np.frombuffer(b"".join([*(segments[k] for k in block), bytes(DEPTH + 2 * MODULUS)]), np.uint8)
     for k in block:
         out[k] = np.zeros(len(segments[k]) - WINDOW + 1, bool)
