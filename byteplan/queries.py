@@ -45,6 +45,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Kernels take far longer than moving a row: give all cores some where the input has few splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_blobs(_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), F.col("source"))
 
@@ -132,7 +138,7 @@ def utf8_valid_ratio(spark, sf_dir):
 
 @_query()
 def classify(spark, sf_dir):
-    return profiling.classify(_documents(spark, sf_dir))
+    return profiling.classify(_spread(_documents(spark, sf_dir)))
 
 
 # ---- numbers and transforms -------------------------------------------------------------------------------------
@@ -433,7 +439,7 @@ _DOC_DIGEST = "SELECT doc_id, md5(text) AS digest, octet_length(encode(text)) AS
 
 
 def _back(spark, sf_dir, decoded) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").withColumn("b", F.col("text").cast("binary")).withColumn("d", decoded)
+    rows = _spread(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("b"))).withColumn("d", decoded)
     return rows.select("doc_id", F.md5("d").alias("digest"), F.octet_length("d").cast("bigint").alias("length"))
 
 
@@ -454,7 +460,7 @@ def program_smart(spark, sf_dir):
 
 @_query(_DOC_DIGEST)
 def program_synthesized(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").withColumn("s", _K["synthesize"](F.col("text").cast("binary")))
+    rows = _spread(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("b"))).withColumn("s", _K["synthesize"]("b"))
     rows = rows.withColumn("d", _K["run_with_macros"]("s.program", "s.macros"))
     return rows.select("doc_id", F.md5("d").alias("digest"), F.octet_length("d").cast("bigint").alias("length"))
 
@@ -523,7 +529,7 @@ def disassembly(spark, sf_dir):
 
 
 def _packed(spark, sf_dir, force=False) -> DataFrame:
-    entries = pack.encode_entries(_documents(spark, sf_dir), force_programs=force)
+    entries = pack.encode_entries(_spread(_documents(spark, sf_dir)), force_programs=force)
     return pack.archives(entries).select(F.col("first_path").alias("path"), F.col("data").alias("content"))
 
 
