@@ -418,8 +418,8 @@ def coverage_curve(spark, sf_dir):
 
 @_query()
 def leave_one_out(spark, sf_dir):
-    blobs = as_blobs(_order_blobs(spark, sf_dir), F.col("path"), F.substring("content", 1, 1500))
-    return mining.leave_one_out(blobs, shortest=6, longest=12)
+    blobs = as_blobs(_order_blobs(spark, sf_dir), F.col("path"), F.col("content"))
+    return mining.leave_one_out(blobs.repartition(spark.sparkContext.defaultParallelism, "path"))
 
 
 @_query(f"""WITH {_TOP_SQL}, b AS (SELECT rank, printf('%08X', rank) AS r, printf('%08X', length(p) // 2) AS l, p FROM top)
