@@ -233,6 +233,17 @@ def best_macros(spark, sf_dir):
     return rows.select("item_id", F.coalesce(_K["best_macro"](F.col("text").cast("binary"))["gain"], F.lit(0)).cast("bigint").alias("gain"))
 
 
+#: Every byte is a character of its own (U+0100 and up), so character functions count bytes.
+@_query("""WITH x AS (SELECT item_id, generate_subscripts(a, 1) AS i, unnest(a) AS x FROM (SELECT item_id, regexp_extract_all(hex(encode(text)), '..') AS a FROM benchmark)),
+b AS (SELECT item_id, string_agg(chr(('0x' || x)::INT + 256), '' ORDER BY i) AS t, count(*) AS n FROM x GROUP BY ALL),
+g AS (SELECT DISTINCT item_id, t, w, substr(t, i::INT, w::INT) AS p FROM (SELECT item_id, t, w, unnest(range(1, n - w + 2)) AS i FROM b, range(8, 65) v(w) WHERE w <= n // 2)),
+u AS (SELECT item_id, w, (length(t) - length(replace(t, p, ''))) // w AS u FROM g)
+SELECT item_id, coalesce(max(u * w - w - 6) FILTER (u >= 2 AND u * w - w - 6 > 0), 0)::BIGINT AS gain FROM benchmark LEFT JOIN u USING (item_id) GROUP BY ALL""")
+def best_macros_bytes(spark, sf_dir):
+    rows = _table(spark, sf_dir, "benchmark")
+    return rows.select("item_id", F.coalesce(_K["best_macro"](F.col("text").cast("binary"))["gain"], F.lit(0)).cast("bigint").alias("gain"))
+
+
 @_query("""SELECT doc_id, ((length(text) - length(replace(text, 'ing', ''))) // 3)::BIGINT AS n,
   (length(text) - length(replace(text, chr(10), '')))::BIGINT AS newlines, instr(text, 'tion')::INT AS first FROM documents""")
 def nonoverlap_count(spark, sf_dir):

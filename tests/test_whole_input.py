@@ -36,3 +36,30 @@ def test_leave_one_out_on_odd_blobs(spark):
     got = sorted(((r["path"], *answer(r)) for r in mining.leave_one_out(rows, n=5).collect()), key=repr)
     want = [(p, *expected(blobs, p, n=5)) for p in blobs] + [("a", 0, 0.0, 0.0, False)]
     assert got == sorted(want, key=repr)
+
+
+def best_gain(data):
+    """The gain of the best macro of 8 to 64 bytes, trying every one."""
+    best = 0
+    for w in range(8, min(64, len(data) // 2) + 1):
+        for pattern in {data[i : i + w] for i in range(len(data) - w + 1)}:
+            uses = data.count(pattern)
+            best = max(best, uses * w - w - 6 if uses >= 2 else 0)
+    return best
+
+
+def test_best_macros_of_every_item(spark, tmp_path):
+    late = "".join(chr(0x4E00 + i) for i in range(350)) + "späte Wiederholung " * 3  # repeats after byte 1,000
+    texts = ["Grüße aus Köln, Grüße aus Köln", "日本語のテキスト" * 5, "é" * 40, "ascii only, ascii only, ascii only", "kurz é", "", None, "\x00\x01ÿ\x00\x01ÿ\x00\x01ÿ" * 4, late]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["item_id"]: r["gain"] for r in Q.queries()["best_macros_bytes"](spark, str(tmp_path)).collect()}
+    assert got == {i: best_gain((t or "").encode()) for i, t in enumerate(texts)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM read_parquet('{tmp_path}/benchmark.parquet/*.parquet')")
+    assert dict(con.execute(Q.oracle_sql()["best_macros_bytes"]).fetchall()) == got
+
+
+def test_best_macros_leave_no_item_out(spark):
+    rows = Q.queries()["best_macros_bytes"](spark, DATA).collect()
+    items = duckdb.sql(f"SELECT item_id FROM read_parquet('{DATA}/benchmark.parquet')").fetchall()
+    assert sorted(r["item_id"] for r in rows) == sorted(i for i, in items)
