@@ -384,7 +384,7 @@ k AS (SELECT p, files, total, total * (length(p) // 2 - 3) AS score FROM x WHERE
 
 
 def _cross(spark, sf_dir):
-    return mining.cross_file_candidates(mining.file_patterns(_benchmark(spark, sf_dir), 6, 12))
+    return mining.cross_file_candidates(mining.file_patterns(_benchmark(spark, sf_dir)))
 
 
 @_query(f"WITH {_CROSS_SQL} SELECT p AS pattern, files, total, score::BIGINT AS score FROM k")

@@ -63,3 +63,17 @@ def test_best_macros_leave_no_item_out(spark):
     rows = Q.queries()["best_macros_bytes"](spark, DATA).collect()
     items = duckdb.sql(f"SELECT item_id FROM read_parquet('{DATA}/benchmark.parquet')").fetchall()
     assert sorted(r["item_id"] for r in rows) == sorted(i for i, in items)
+
+
+def test_cross_file_queries_take_long_patterns(spark, tmp_path):
+    phrase = "a phrase of more than twelve bytes; "
+    texts = [phrase * 3 + "one", "two " + phrase * 2, (phrase + "three ") * 2, "alone"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    blobs = [t.encode() for t in texts]
+    want = [p.hex().upper() for p in dictionary.mine_across(blobs).values()]
+    rows = Q.queries()["cross_file_dictionary"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert [r["pattern"] for r in rows] == want and max(map(len, want)) > 2 * 12
+    found = Q.queries()["cross_file_candidates"](spark, str(tmp_path)).collect()
+    assert {len(r["pattern"]) // 2 for r in found} >= set(range(6, 37))
+    sweep = {r["min_files"]: r["n_patterns"] for r in Q.queries()["pattern_sweep"](spark, str(tmp_path)).collect()}
+    assert sweep == {t: n for t in (2, 3, 5) if (n := sum(r["files"] >= t for r in found))}
