@@ -29,18 +29,18 @@ CUT = 0.5
 
 _BAD = "casino poker betting jackpot porn xxx escort viagra pills spam malware phishing warez crack torrent scam clickbait linkfarm cheap replica adserver tracker".split()
 _GOOD = "news blog wiki museum library weather recipes garden school history science travel music sports docs forum market city health film calendar gallery".split()
-#: Hosts and paths are the same for either kind, so only the words tell them apart.
+#: Hosts and paths are the same for either kind, so only the words in them tell them apart.
 _HOSTS = ("www.{w}.example.com", "{w}-site.example.net", "m.my-{w}.example.org")
 _PATHS = ("/en/{n}.html", "/fr/{n}/", "/de/{n}?page=2&ref=x", "/es/{n}#top")
 
 
 def default_table() -> list[tuple[str, bool]]:
-    """The small labelled table: (url, is to be blocked), three forms of each word and some neutral hosts."""
+    """The small labelled table: (url, is to be blocked), three forms of each word, one or two with it in the path too, and some neutral hosts."""
     rows = []
     for i, pair in enumerate(zip(_BAD, _GOOD)):
         for j, host in enumerate(_HOSTS):
             path = _PATHS[(i + j) % len(_PATHS)].format(n=397 * (3 * i + j) % 9973)
-            rows += [(f"https://{host.format(w=w)}{path}", bad) for w, bad in zip(pair, (True, False))]
+            rows += [(f"https://{host.format(w=w)}{f'/{w}' if j == 2 or (j == 1 and i % 3 == 0) else ''}{path}", bad) for w, bad in zip(pair, (True, False))]
     first, vowels, last = "bdfglmnprsth", "aeiou", "nrstdlm"
     for i in range(60):  # names made of plain syllables
         name = "".join(first[(i * 7 + k * 5) % 12] + vowels[(i * 3 + k) % 5] + last[(i + 3 * k) % 7] for k in range(2))

@@ -54,3 +54,10 @@ def test_model():
 def test_very_long_urls(url):
     host, path = urls.split_url(url)
     assert urls.match_rule(host, path, urls.rule_index(urls.RULES)) == (("com/fr/", "allow") if "fr" in url[-5:] else None)
+
+
+def test_words_in_paths_decide():
+    model = urls.train_url_model()
+    blocked = lambda words: sum(model.score("www.tonder.example.com", f"/{w}/12.html") >= urls.CUT for w in words)
+    assert blocked(urls._BAD) >= 0.8 * len(urls._BAD) and blocked(urls._GOOD) == 0 and blocked(["en"]) == 0
+    assert blocked(["casino"])
