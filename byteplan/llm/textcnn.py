@@ -15,6 +15,8 @@ import numpy as np
 
 #: Positions whose activations are held at once.
 BLOCK = 1 << 15
+#: Features whose embeddings are held at once; a token with more of them is summed by counting.
+FEATURES = 1 << 18
 
 
 @dataclass
@@ -45,7 +47,7 @@ class TextCnn:
         self,
         sequences: list[np.ndarray],
         labels: np.ndarray,
-        features: np.ndarray,
+        features: np.ndarray | list[np.ndarray],
         epochs: int = 6,
         batch: int = 32,
         rate: float = 3e-3,
@@ -53,9 +55,13 @@ class TextCnn:
     ) -> TextCnn:
         """Adam on the cross entropy; batches of like lengths in an order drawn from the seed.
 
-        ``sequences`` hold tokens, ``features[token]`` the features of a token, filled up with padding.
+        ``sequences`` hold tokens, ``features[token]`` the features of a token, filled up with padding or
+        (in a list) as many as it has.
         """
-        features = np.concatenate([features, np.full((1, features.shape[1]), self.vocab)])
+        if isinstance(features, list):
+            features = [*features, np.array([self.vocab])]
+        else:
+            features = np.concatenate([features, np.full((1, features.shape[1]), self.vocab)])
         rng = np.random.default_rng(self.seed)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.weights.items()}
         by_length = np.argsort([len(s) for s in sequences], kind="stable")
@@ -73,14 +79,14 @@ class TextCnn:
                 self.weights["emb"][self.vocab] = 0
         return self
 
-    def _gradients(self, sequences: list[np.ndarray], labels: np.ndarray, features: np.ndarray, scale: np.ndarray) -> dict[str, np.ndarray]:
+    def _gradients(self, sequences: list[np.ndarray], labels: np.ndarray, features: np.ndarray | list[np.ndarray], scale: np.ndarray) -> dict[str, np.ndarray]:
         p, most = self.weights, max(1, *(len(s) for s in sequences))
         ids = np.full((len(sequences), most + max(self.widths) - 1), len(features) - 1, np.int64)
         for i, s in enumerate(sequences):
             ids[i, : len(s)] = s
         used, ids = np.unique(ids, return_inverse=True)
-        ids, own = ids.reshape(len(sequences), -1), features[used]
-        tokens = p["emb"][own].sum(axis=1)
+        ids, own = ids.reshape(len(sequences), -1), [features[i] for i in used]
+        tokens = self._embeddings(own)
         real = np.arange(most)[None, :] < np.array([len(s) for s in sequences])[:, None]
         emb, rows, pooled, kept = tokens[ids], np.arange(len(sequences))[:, None], [], []
         for w in self.widths:
@@ -102,7 +108,8 @@ class TextCnn:
             grads[f"conv{w}"] = np.einsum("bfk,bf->kf", tokens[patch].reshape(*at.shape, -1), g)
             np.add.at(back, patch.ravel(), (g[:, :, None] * p[f"conv{w}"].T[None]).reshape(-1, self.dim))
         moved = np.flatnonzero(back.any(axis=1))
-        np.add.at(grads["emb"], own[moved], back[moved][:, None, :])
+        if len(moved):
+            np.add.at(grads["emb"], np.concatenate([own[i] for i in moved]), np.repeat(back[moved], [len(own[i]) for i in moved], axis=0))
         return {k: v.astype(np.float32) for k, v in grads.items()}
 
     def table(self, features: np.ndarray) -> np.ndarray:
@@ -111,6 +118,28 @@ class TextCnn:
         columns = [p[f"conv{w}"][j * d : (j + 1) * d] for w in self.widths for j in range(w)]
         return p["emb"][features].sum(axis=1) @ np.concatenate(columns, axis=1)
 
+    def ragged_table(self, features: list[np.ndarray]) -> np.ndarray:
+        """``table`` of tokens that have one feature or more, each its own number."""
+        p, d = self.weights, self.dim
+        columns = [p[f"conv{w}"][j * d : (j + 1) * d] for w in self.widths for j in range(w)]
+        return self._embeddings(features) @ np.concatenate(columns, axis=1)
+
+    def _embeddings(self, features: list[np.ndarray]) -> np.ndarray:
+        """The sum of the embeddings of each token's features, a bounded number of them at a time."""
+        emb = self.weights["emb"]
+        out, sizes, at = np.zeros((len(features), self.dim), emb.dtype), [len(f) for f in features], 0
+        while at < len(features):
+            end, total = at + 1, sizes[at]
+            while end < len(features) and total + sizes[end] <= FEATURES:
+                total, end = total + sizes[end], end + 1
+            if total > FEATURES:
+                out[at] = np.bincount(features[at], minlength=self.vocab + 1) @ emb
+            else:
+                starts = np.concatenate(([0], np.cumsum(sizes[at : end - 1]))).astype(np.int64)
+                out[at:end] = np.add.reduceat(emb[np.concatenate(features[at:end])], starts, axis=0)
+            at = end
+        return out
+
     def predict(self, ids: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Class probabilities of sequences laid end to end in ``ids``; an empty one has only the bias.
 

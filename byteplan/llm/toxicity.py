@@ -10,6 +10,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from .textcnn import TextCnn
 
 #: Buckets of hashed words and parts of words.
 VOCABULARY = 1 << 15
-#: Parts of words: lengths of character n-grams (with an edge mark at either end), most of them used.
-PARTS, MOST_PARTS = (4, 5), 15
+#: Parts of words: lengths of n-grams (with an edge mark at either end).
+PARTS = (4, 5)
 #: Labelled documents per class that the network is fitted on; longer ones are not drawn.
 PER_CLASS, MAX_CHARS = 1500, 20_000
 #: Scores from here on are toxic, in every language.
@@ -41,15 +42,11 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def word_features(word: str) -> list[int]:
-    """Buckets of the word and its parts, filled up with padding; the word's own comes first.
-
-    Of very long words the first parts are used.
-    """
+def word_features(word: str) -> np.ndarray:
+    """Buckets of the word and of all its parts; the word's own comes first."""
     marked = f"<{word}>".encode("utf-8", "surrogatepass")
-    parts = [marked[i : i + n] for n in PARTS for i in range(min(len(marked) - n + 1, MOST_PARTS))]
-    found = [zlib.crc32(x) % VOCABULARY for x in [marked, *parts[:MOST_PARTS]]]
-    return found + [VOCABULARY] * (1 + MOST_PARTS - len(found))
+    parts = (marked[i : i + n] for n in PARTS for i in range(len(marked) - n + 1))
+    return np.fromiter((zlib.crc32(x) % VOCABULARY for x in chain((marked,), parts)), np.int64)
 
 
 class _Words(dict):
@@ -80,9 +77,9 @@ class ToxicityModel:
         known = self._words
         ids = [np.array([known[w] for w in words], dtype=np.int64) for words in texts]
         if known.new:
-            features = np.array([word_features(w) for w in known.new])
-            self._rows = np.concatenate([self._rows, self.net.table(features)])
-            self._votes = np.concatenate([self._votes, self.by_word[features[:, 0]]])
+            features = [word_features(w) for w in known.new]
+            self._rows = np.concatenate([self._rows, self.net.ragged_table(features)])
+            self._votes = np.concatenate([self._votes, self.by_word[[f[0] for f in features]]])
             known.new = []
             self._table = np.concatenate([self._rows, np.zeros((1, self._rows.shape[1]), np.float32)])
         elif not hasattr(self, "_table"):
@@ -147,7 +144,8 @@ def fit_toxicity(rows: list[Row], seed: int = 42) -> ToxicityModel:
         return none
     known = _Words()
     ids = [np.array([known[w] for w in words_of(r["text"])], dtype=np.int64) for r in rows]
-    features = np.array([word_features(w) for w in known.new] or [[VOCABULARY] * (1 + MOST_PARTS)])
+    features = [word_features(w) for w in known.new]
+    own = np.array([f[0] for f in features], dtype=np.int64)
     held = np.arange(len(rows)) % 5 == 4
     if len(set(labels[~held].tolist())) < 2 or len(set(labels[held].tolist())) < 2:
         held[:] = False
@@ -159,7 +157,7 @@ def fit_toxicity(rows: list[Row], seed: int = 42) -> ToxicityModel:
     languages = sorted({r["lang"] for r in rows})
     counts = np.full((VOCABULARY, len(languages)), 0.1)
     for r, words in zip(rows, ids):
-        np.add.at(counts[:, languages.index(r["lang"])], features[words, 0], 1)
+        np.add.at(counts[:, languages.index(r["lang"])], own[words], 1)
     model = ToxicityModel(net, np.log(counts / counts.sum(axis=0)), np.full(len(languages), 0.5))
     check = np.flatnonzero(held) if held.any() else np.arange(len(rows))
     raw, language = model.raw([rows[i]["text"] for i in check])

@@ -133,3 +133,30 @@ def test_gradients():
         down = loss()
         w[at] = before
         assert np.isclose((up - down) / 2e-3, grads[name][at], rtol=0.05, atol=1e-3)
+
+
+def test_no_part_of_a_word_is_cut():
+    word = "unbeschreiblich" * 4 + "idiot"
+    want = {zlib.crc32(x.encode()) % toxicity.VOCABULARY for x in (f"<{word}>", "idio", "diot", "iot>", "idiot", "diot>", "<unb", "<unbe")}
+    assert want <= set(toxicity.word_features(word).tolist())
+    assert len(toxicity.word_features("x" * 1000)) == 1 + 999 + 998
+
+
+def test_sums_of_any_number_of_features():
+    rng = np.random.default_rng(3)
+    net = textcnn.TextCnn(vocab=20, classes=2, dim=4, filters=5, widths=(1, 2))
+    features = [rng.integers(0, 20, n) for n in (1, 7, 40, 2, 300, 1)]
+    for most in (8, 1 << 18):
+        textcnn.FEATURES, before = most, textcnn.FEATURES
+        got = net.ragged_table(features)
+        textcnn.FEATURES = before
+        assert np.allclose(got, np.concatenate([net.table(f[None, :]) for f in features]), atol=1e-4)
+
+
+def test_a_stem_at_the_end_of_a_long_compound_counts():
+    heads = ["wasserleitungs", "strassenbahnfahrer", "versicherungs", "gemeinschaftskunde", "unternehmens", "wirtschaftsforschungs", "entwicklungs", "landesregierungs"]
+    word = lambda i, stem: heads[i % 8] + heads[(i // 8) % 8] + stem
+    rows = [toxicity.Row(text=f"das ist {word(i, stem)} hier", lang="de", toxic=y) for i in range(48) for stem, y in (("idiotenpack", 1), ("blumenbeet", 0))]
+    model = toxicity.fit_toxicity(rows)
+    scores = [model.score([f"das ist {word(i, s)} hier" for i in range(48, 64)]) for s in ("idiotenpack", "blumenbeet")]
+    assert (scores[0] >= toxicity.CUT).all() and (scores[1] < toxicity.CUT).all()
