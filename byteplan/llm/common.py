@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -21,13 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share, ``spark.checkpoint.dir``.
+
+    Where the session names none, a master in one process (``local[...]``: tests, a laptop) gets a temporary folder
+    of its own, as driver and executor are one machine there. A cluster without the setting is an error: every
+    executor would write to its own disk.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="byteplan-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="byteplan-")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -41,18 +54,25 @@ def materialize(df: DataFrame) -> DataFrame:
     Unlike an executor-local cache or checkpoint, the table survives lost executors, and
     unlike ``checkpoint()`` it is columnar and compressed.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/byteplan-{uuid.uuid4().hex}"
-    before = spark.conf.get(_FREE_SHUFFLES, None)
-    spark.conf.set(_FREE_SHUFFLES, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_FREE_SHUFFLES)
-        else:
-            spark.conf.set(_FREE_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialize_all([df])
+
+
+def materialize_all(frames: Iterable[DataFrame]) -> DataFrame:
+    """One table of the rows of several frames of one schema (one frame at least), written one after another."""
+    paths: list[str] = []
+    for df in frames:
+        spark, schema = df.sparkSession, df.schema
+        paths.append(f"{shared_dir(spark)}/byteplan-{uuid.uuid4().hex}")
+        before = spark.conf.get(_FREE_SHUFFLES, None)
+        spark.conf.set(_FREE_SHUFFLES, "true")
+        try:
+            df.write.parquet(paths[-1])
+        finally:
+            if before is None:
+                spark.conf.unset(_FREE_SHUFFLES)
+            else:
+                spark.conf.set(_FREE_SHUFFLES, before)
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

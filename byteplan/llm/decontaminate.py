@@ -2,20 +2,21 @@
 
 Benchmark items are few against the documents: they are fitted in blocks of a checked size, and
 every block goes over the documents once, so the documents are never shuffled. Within a block a
-document's runs of ``MIN_MATCH`` tokens are looked up among the items' (the seed join, by rolling
-hash in numpy); a document that shares a seed with an item is tiled against it: the longest common
-run of unmarked tokens is found by Karp-Rabin hashes of decreasing length, marked, and so on.
-Coverage is the share of the item's tokens under tiles, wherever in the document they lie, so a
-passage whose parts were put in another order is found as well.
+document's runs of ``MIN_MATCH`` tokens are looked up among the items' (the seed join); a document
+that shares a seed with an item is tiled against it: the longest common run of unmarked tokens is
+found, marked, and so on. Runs are compared by running Karp-Rabin hashes: prefix sums give the hash
+of every run of one length in a single pass, so a length is tried in linear time and the longest is found
+by bisection; whatever hashes say is equal is compared token by token before it is marked. Coverage is
+the share of the item's tokens under tiles, wherever in the document they lie, so a passage whose
+parts were put in another order is found as well.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import chunks, text_or_empty
+from .common import chunks, materialize, materialize_all, text_or_empty
 
 #: Tokens in the shortest tile, and in a seed.
 MIN_MATCH = 5
@@ -33,34 +34,56 @@ COVERAGE = 0.6
 BLOCK_CHARS = 8_000_000
 
 _TOKEN = re.compile(r"\w+")
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
-class _Numbers(dict):
-    """Token -> 32-bit number; remembers a bounded number of tokens."""
+class _Vocabulary(dict):
+    """Token -> number from 1; 0 for any other token, which matches nothing."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        number = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-        return number
+        return 0
 
+    def learn(self, words: list[str]) -> np.ndarray:
+        return np.array([self.setdefault(w, len(self) + 1) for w in words], dtype=np.int64)
 
-_NUMBERS = _Numbers()
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def _runs(numbers: np.ndarray, n: int) -> np.ndarray:
-    """Rolling polynomial hash of each run of ``n`` numbers."""
-    if len(numbers) < n:
-        return np.zeros(0, np.uint64)
-    count, out = len(numbers) - n + 1, np.zeros(len(numbers) - n + 1, np.uint64)
-    for i in range(n):
-        out = out * _MULTIPLIER + numbers[i : i + count]
-    return out
+class _Runs:
+    """Karp-Rabin hashes of all runs of a sequence, for any length, and which of its places are still free."""
+
+    _up = _down = np.ones(1, np.uint64)
+
+    def __init__(self, numbers: np.ndarray) -> None:
+        n = len(numbers)
+        if len(_Runs._up) <= n:
+            size = max(1 << 12, 2 * n)
+            _Runs._up = np.concatenate(([np.uint64(1)], np.full(size, _BASE, np.uint64))).cumprod(dtype=np.uint64)
+            _Runs._down = np.concatenate(([np.uint64(1)], np.full(size, pow(_BASE, -1, 1 << 64), np.uint64))).cumprod(dtype=np.uint64)
+        x = numbers.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        self.numbers, self.free = numbers, numbers > 0
+        self.sums = np.concatenate(([np.uint64(0)], np.cumsum(x * self._up[:n], dtype=np.uint64)))
+
+    def of(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the runs of free tokens of this length."""
+        count = len(self.numbers) - length + 1
+        if count <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        taken = np.concatenate(([0], np.cumsum(~self.free)))
+        at = np.flatnonzero(taken[length:] == taken[:count])
+        return at, (self.sums[at + length] - self.sums[at]) * self._down[at]
+
+    def is_free(self, at: int, length: int) -> bool:
+        return bool(self.free[at : at + length].all())
+
+    def mark(self, at: int, length: int) -> None:
+        self.free[at : at + length] = False
 
 
 def greedy_tiles(item: list[str], text: list[str], least: int) -> list[tuple[int, int, int]]:
@@ -68,104 +91,119 @@ def greedy_tiles(item: list[str], text: list[str], least: int) -> list[tuple[int
 
     Ties go to the earliest place in the item, then in the text.
     """
-    tiles: list[tuple[int, int, int]] = []
-    item_free, text_free = [True] * len(item), [True] * len(text)
-    length = _longest(item, text, item_free, text_free, least)
+    known = _Vocabulary()
+    return _tiles(known.learn(item), known.numbers(text), least)
+
+
+def _tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """``greedy_tiles`` of numbered tokens; zeros match nothing."""
+    a, b, out = _Runs(item), _Runs(text), []
+    length = _longest(a, b, least, min(len(item), len(text)))
     while length >= least:
-        where = defaultdict(list)
-        for b in _free_runs(text_free, length):
-            where[hash(tuple(text[b : b + length]))].append(b)
-        for a in _free_runs(item_free, length):
-            if not all(item_free[a : a + length]):
-                continue
-            for b in where.get(hash(tuple(item[a : a + length])), ()):
-                if all(text_free[b : b + length]) and text[b : b + length] == item[a : a + length]:
-                    tiles.append((a, b, length))
-                    item_free[a : a + length] = [False] * length
-                    text_free[b : b + length] = [False] * length
-                    break
-        length = min(length - 1, _longest(item, text, item_free, text_free, least))
-    return tiles
-
-
-def _free_runs(free: list[bool], length: int) -> Iterator[int]:
-    run = 0
-    for i, f in enumerate(free):
-        run = run + 1 if f else 0
-        if run >= length:
-            yield i - length + 1
-
-
-def _longest(item: list[str], text: list[str], item_free: list[bool], text_free: list[bool], least: int) -> int:
-    """Length of the longest common run of free tokens that has a common run of ``least`` (else 0)."""
-    seeds = defaultdict(list)
-    for a in _free_runs(item_free, least):
-        seeds[tuple(item[a : a + least])].append(a)
-    best = 0
-    for b in _free_runs(text_free, least):
-        for a in seeds.get(tuple(text[b : b + least]), ()):
-            n = least
-            while a + n < len(item) and b + n < len(text) and item_free[a + n] and text_free[b + n] and item[a + n] == text[b + n]:
-                n += 1
-            best = max(best, n)
-    return best
+        out += _mark(a, b, length)
+        length = _longest(a, b, least, length - 1)
+    return out
+
+
+def _longest(a: _Runs, b: _Runs, least: int, most: int) -> int:
+    """The greatest length up to ``most`` at which free runs have equal hashes, ``least`` - 1 if there is none.
+
+    It is never less than that of the longest common free run: shorter parts of it have equal hashes too.
+    """
+    low, high = least - 1, most + 1
+    while high - low > 1:
+        middle = least if low < least else (low + high) // 2
+        if np.isin(a.of(middle)[1], b.of(middle)[1]).any():
+            low = middle
+        else:
+            high = middle
+    return low
+
+
+def _mark(a: _Runs, b: _Runs, length: int) -> Iterator[tuple[int, int, int]]:
+    """Mark the common free runs of this length, from the left of ``a``, each with the first free place in ``b``."""
+    starts, hashes = a.of(length)
+    places, others = b.of(length)
+    order = np.argsort(others, kind="stable")
+    places, others = places[order], others[order]
+    first, last = np.searchsorted(others, hashes), np.searchsorted(others, hashes, side="right")
+    passed: dict[int, int] = {}  # places up to here are taken for good
+    for k in np.flatnonzero(last > first).tolist():
+        at, begin, end = int(starts[k]), int(first[k]), int(last[k])
+        if not a.is_free(at, length):
+            continue
+        place = passed.get(begin, begin)
+        while place < end and not b.is_free(int(places[place]), length):
+            place += 1
+        passed[begin] = place
+        for p in places[place:end].tolist():
+            if b.is_free(p, length) and np.array_equal(a.numbers[at : at + length], b.numbers[p : p + length]):
+                a.mark(at, length)
+                b.mark(p, length)
+                yield at, p, length
+                break
 
 
 @dataclass
 class ItemBlock:
-    """Some benchmark items with the seeds that lead to them."""
+    """Some benchmark items, their tokens as numbers of a common vocabulary, with the seeds that lead to them."""
 
     ids: list
-    items: list[list[str]]
+    items: list
 
     def __post_init__(self) -> None:
+        self.known = _Vocabulary()
+        self.items = [self.known.learn(t) for t in self.items]
         # A shorter item is its own seed; an item without any token matches nothing.
         self.least = [min(MIN_MATCH, len(t)) for t in self.items]
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in sorted(set(self.least) - {0}):
             own = [k for k, least in enumerate(self.least) if least == n]
-            runs = [np.unique(_runs(_number(self.items[k]), n)) for k in own]
+            runs = [np.unique(_Runs(self.items[k]).of(n)[1]) for k in own]
             values, owners = np.concatenate(runs), np.repeat(own, [len(r) for r in runs])
             order = np.argsort(values, kind="stable")
             self.seeds[n] = values[order], owners[order]
 
-    def coverage(self, text: str | None) -> dict[int, tuple[int, int]]:
-        """Items that share a seed with the text -> (tokens under tiles, tiles)."""
-        words = tokens(text)
-        numbers, found = _number(words), set()
-        for n, (values, owners) in self.seeds.items():
-            runs = _runs(numbers, n)
-            at = np.minimum(np.searchsorted(values, runs), len(values) - 1)
-            for value in np.unique(runs[values[at] == runs]):
-                found.update(owners[np.searchsorted(values, value) : np.searchsorted(values, value, "right")].tolist())
+    def coverage(self, text: str | None, share: float = 0.0) -> dict[int, tuple[int, int]]:
+        """Items that share a seed with the text -> (tokens under tiles, tiles).
+
+        Items of which seeds in the text cover less than ``share`` may be left out: tiles cover no more.
+        """
+        numbers = self.known.numbers(tokens(text))
+        found: set[int] = set()
+        runs = _Runs(numbers) if numbers.any() else None
+        for n, (values, owners) in self.seeds.items() if runs else ():
+            own = np.unique(runs.of(n)[1])
+            first, last = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
+            for k in np.flatnonzero(last > first).tolist():
+                found.update(owners[first[k] : last[k]].tolist())
         out = {}
         for k in sorted(found):
-            tiles = self.tile(k, words)
+            tiles = self._tile(k, runs, share)
             if tiles:
                 out[k] = sum(t[2] for t in tiles), len(tiles)
         return out
 
     def tile(self, k: int, words: list[str]) -> list[tuple[int, int, int]]:
-        """Tiles of item ``k`` in the text; only the text's stretches around shared seeds are compared."""
+        """Tiles of item ``k`` in the text; places are those in the stretches around shared seeds."""
+        return self._tile(k, _Runs(self.known.numbers(words)))
+
+    def _tile(self, k: int, runs: _Runs, share: float = 0.0) -> list[tuple[int, int, int]]:
         item, least = self.items[k], self.least[k]
-        seeds = {tuple(item[a : a + least]) for a in range(len(item) - least + 1)}
-        first = {s[0] for s in seeds}
-        keep = np.zeros(len(words), bool)
-        for b in range(len(words) - least + 1):
-            if words[b] in first and tuple(words[b : b + least]) in seeds:
-                keep[b : b + least] = True
+        (a, own), (b, others) = _Runs(item).of(least), runs.of(least)
+        if share and _under(a[np.isin(own, others)], least, len(item)).sum() < share * len(item):
+            return []
         # Tokens outside any shared seed can be in no tile; they are replaced by one gap each run.
-        text, at = [], 0
-        for b in np.flatnonzero(keep).tolist():
-            if b != at:
-                text.append("\0")
-            text.append(words[b])
-            at = b + 1
-        return greedy_tiles(item, text, least)
+        keep = np.flatnonzero(_under(b[np.isin(others, own)], least, len(runs.numbers)))
+        return _tiles(item, np.insert(runs.numbers[keep], np.flatnonzero(np.diff(keep) > 1) + 1, 0), least)
 
 
-def _number(words: list[str]) -> np.ndarray:
-    return np.array([_NUMBERS[w] for w in words], dtype=np.uint64)
+def _under(starts: np.ndarray, length: int, n: int) -> np.ndarray:
+    """Which of ``n`` places are in a run of this length that starts at one of ``starts``."""
+    edges = np.zeros(n + 1, np.int64)
+    edges[starts] += 1
+    np.subtract.at(edges, starts + length, 1)
+    return np.cumsum(edges[:n]) > 0
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[ItemBlock]:
@@ -191,15 +229,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     punctuation and white space do not hide a passage. Items of fewer than five tokens must occur as
     a whole. Null and empty texts match nothing; a null id is carried through. Other columns are
     ignored. An empty table on either side gives an empty result.
+
+    A benchmark of several blocks is worked through block by block, each over all documents, and what one finds is
+    written before the next is fetched: driver, plan and workers hold one block at a time.
     """
     ids = {n: d.schema[n].dataType.simpleString() for d, n in ((docs, "doc_id"), (benchmark, "item_id"))}
     schema = f"doc_id {ids['doc_id']}, item_id {ids['item_id']}, n_tokens long, covered long, tiles long, coverage double"
-    rows, found = docs.select("doc_id", F.col("text").cast("string").alias("text")), None
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     item_type = benchmark.schema["item_id"].dataType
-    for block in item_blocks(benchmark, block_chars):
-        one = rows.mapInArrow(_leaks_of(block, coverage, item_type), schema)
-        found = one if found is None else found.unionByName(one)
-    return docs.sparkSession.createDataFrame([], schema) if found is None else found
+    found = lambda block: rows.mapInArrow(_leaks_of(block, coverage, item_type), schema)
+    blocks = item_blocks(benchmark, block_chars)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    if second is None:
+        return found(first)
+    return materialize_all(found(b) for b in chain((first, second), blocks))
 
 
 def _leaks_of(block: ItemBlock, coverage: float, item_type):
@@ -211,7 +256,7 @@ def _leaks_of(block: ItemBlock, coverage: float, item_type):
         for batch in chunks(batches):
             rows, out = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for k, (covered, tiles) in block.coverage(text).items():
+                for k, (covered, tiles) in block.coverage(text, coverage).items():
                     if covered >= coverage * len(block.items[k]):
                         rows.append(i)
                         out.append((block.ids[k], len(block.items[k]), covered, tiles, covered / len(block.items[k])))
@@ -226,15 +271,24 @@ def _leaks_of(block: ItemBlock, coverage: float, item_type):
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` without the rows that contain a benchmark item; a filter on each row, no shuffle."""
-    for block in item_blocks(benchmark, block_chars):
-        docs = docs.filter(_clean(block, coverage)(F.col("text").cast("string")))
+    """``docs`` without the rows that contain a benchmark item; a filter on each row, no shuffle.
+
+    Null and empty texts are kept, as are all rows where the benchmark is empty; equal rows stay or go together and
+    columns are as they were. With a benchmark of several blocks, what is left after a block is written before the next.
+    """
+    clean = lambda df, block: df.filter(_clean(block, coverage)(F.col("text").cast("string")))
+    blocks = item_blocks(benchmark, block_chars)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        return docs if first is None else clean(docs, first)
+    for block in chain((first, second), blocks):
+        docs = materialize(clean(docs, block))
     return docs
 
 
 def _clean(block: ItemBlock, coverage: float):
     def contaminated(text: str | None) -> bool:
-        return any(covered >= coverage * len(block.items[k]) for k, (covered, _) in block.coverage(text).items())
+        return any(covered >= coverage * len(block.items[k]) for k, (covered, _) in block.coverage(text, coverage).items())
 
     @arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
@@ -245,5 +299,6 @@ def _clean(block: ItemBlock, coverage: float):
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """All leaks of ``benchmark`` into ``documents``; odd rows as in ``find_leaks``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, in_fold, text_or_empty
-from .sampling import sample_per_label
+from .sampling import MAX_LABELS, sample_per_label
 from .textcnn import TextCnn
 
 #: Bytes in a window.
@@ -81,16 +81,18 @@ class LanguageModel:
             names[i], scores[i] = self.languages[best], min(1.0, float(p[best]))
 
 
-def train_language_model(labelled: DataFrame, per_language: int = PER_LANGUAGE, pieces: int = PIECES, seed: int = 42) -> LanguageModel:
-    """Fit on (doc_id, text, lang): at most ``per_language`` documents of each language.
+def train_language_model(labelled: DataFrame, per_language: int = PER_LANGUAGE, pieces: int = PIECES, seed: int = 42, max_languages: int = MAX_LABELS) -> LanguageModel:
+    """Fit on (doc_id, text, lang): at most ``per_language`` documents of each of the ``max_languages`` most frequent languages.
 
     Of each the driver gets ``pieces`` pieces of a window's length at places drawn from a hash, so
-    what it holds is bounded whatever the texts' lengths. Null languages are not learned.
+    what it holds is bounded whatever the texts' lengths. Rows with a null language are not learned from, null texts
+    are empty, repeated rows may be drawn more than once. Without any labelled text with a letter (an empty table,
+    for one) the model knows no language and calls every text ``und``.
     """
     text = text_or_empty()
     span = F.greatest(F.length(text) - WINDOW, F.lit(0)) + 1
     cut = [F.substring(text, (F.pmod(F.xxhash64("doc_id", F.lit(seed + i)), span) + 1).cast("int"), WINDOW) for i in range(pieces)]
-    rows = sample_per_label(labelled.select("doc_id", "lang", F.array(*cut).alias("pieces")), "lang", per_language, "doc_id", seed)
+    rows = sample_per_label(labelled.select("doc_id", "lang", F.array(*cut).alias("pieces")), "lang", per_language, "doc_id", seed, max_languages)
     languages = sorted({r["lang"] for r in rows})
     found = [(p.encode("utf-8", "surrogatepass")[:WINDOW], languages.index(r["lang"])) for r in rows for p in r["pieces"] if _LETTER.search(p)]
     if not found:
@@ -103,7 +105,12 @@ def train_language_model(labelled: DataFrame, per_language: int = PER_LANGUAGE,
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred and score, from the whole text alone."""
+    """The columns ``keep`` of ``docs`` with lang_pred and score, from the whole text alone.
+
+    One row per row, equal texts alike. Null texts, empty ones and those without a letter are ``und`` with score 0;
+    of equally likely languages the first by name is taken. Very long texts go through in bounded parts. Columns
+    not in ``keep`` are dropped, so their names cannot clash; an empty table gives an empty result.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -116,6 +123,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, keep: tuple[str, .
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out fold; odd rows as in ``identify_languages``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held_out = in_fold(F.col("doc_id"), 5, 0)
     model = train_language_model(docs.filter(~held_out))
