@@ -1,35 +1,38 @@
 """Removal of repeated byte strings over the whole corpus, by suffix sorting of what can repeat.
 
-A byte goes if a 100-byte string over it also starts earlier. Three passes over the texts:
+A byte goes if a 100-byte string over it also starts earlier. Three passes over ranges of documents:
 
 1. *Anchors.* In each window of 100 bytes the 20-gram with the least hash is the window's anchor. Equal
    windows have equal anchors at equal places, so windows whose anchor occurs once in the corpus are
-   unique. Consecutive windows with one anchor make a run; all a run's windows lie in its context. Per
-   range of documents, the distinct pairs of (anchor, context) hashes go to the anchors' partition, which
-   answers for each: its context is in an earlier range (all its windows repeat), its anchor has other
-   contexts (to be sorted), its anchor has very many of them (to be sorted by single windows), or
-   nothing.
+   unique. Consecutive windows with one anchor make a run; all a run's windows lie in its context. Each
+   range sends its distinct pairs of (anchor, context) hashes to the anchors' partition, which answers for each
+   pair: its anchor has another context or its context is in another range (to be sorted), its anchor has very
+   many contexts (to be sorted by single windows), or nothing.
 2. *Suffixes.* Runs to be sorted send their context, once per range, to the suffix bucket of their anchor;
    where an anchor has very many contexts, single windows go to the bucket of their own hash. Each
-   bucket sorts its suffixes with a difference cover (``suffixes.py``) and returns the windows that
-   also start earlier.
+   bucket puts equal contexts together, sorts the suffixes of the others with a difference cover
+   (``suffixes.py``) and returns the stretches of windows that also start earlier.
 3. *Removal.* Each range marks its repeated windows and removes their union.
 
+Hashes only say what may be equal. Whatever is removed has been compared byte by byte: contexts within their
+range or as keys of a bucket, windows by the suffix sort. A collision costs a comparison, never a byte.
+
 Ranges follow doc_id, so "earlier" between ranges is a comparison of their numbers, and whatever repeats
-within a range is sent once. What moves are packed blobs, not rows for each window.
+within a range is sent once: of a document with any number of copies an anchor's partition sees one pair
+per range. What moves are packed blobs, not rows for each window.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, id_range, materialize, shuffle_partitions, small_batches, text_or_empty
+from .common import id_range, materialize, shuffle_partitions, small_batches, text_or_empty
 from .suffixes import WINDOW, repeated_windows
 
 #: Length of an anchor, and the windows' number of places for it.
@@ -39,8 +42,14 @@ PLACES = WINDOW - ANCHOR + 1
 CROWDED = 4096
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 18
-#: Answers to a range: the context came before; sort its windows; sort them one by one.
+#: Bytes of text in a range of documents, of which a task holds one.
+RANGE_BYTES = 1 << 28
+#: Pairs of one anchor that an anchors' partition should hold; a range with its share of them calls the anchor crowded.
+ANCHOR_PAIRS, LEAST_CROWDED = 1 << 22, 16
+#: What is known of a run: its context came before in the range; sort its windows; sort them one by one.
 SEEN, SORT, SINGLE = 1, 2, 3
+#: In place of a context's hash: all contexts of a crowded anchor.
+ALL = np.uint64((1 << 64) - 1)
 
 _RANDOM = np.random.default_rng(61).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xD6E8FEB86659FD93
@@ -110,10 +119,6 @@ def _window_hashes(context: bytes) -> np.ndarray:
     return _rolling(sums, WINDOW)
 
 
-def _run_ids(anchors: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    return _mix(anchors * np.uint64(3) + contexts)
-
-
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     """Partition of each key; anchors are least hashes, so their upper bits must be mixed first."""
     keys = _mix(keys ^ np.uint64(_BASE))
@@ -128,36 +133,27 @@ def _blobs(array: np.ndarray, owner: np.ndarray, n: int) -> list[bytes]:
     return [rows[a:b].tobytes() for a, b in zip(np.concatenate(([0], ends[:-1])), ends)]
 
 
-def _anchor_blobs(parts: int):
-    """(bucket, text) rows -> (part, bucket, pairs), distinct pairs per Arrow chunk."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        size = 0
-        for batch in chunks(batches):
-            for text, bucket in zip(batch.column("text"), batch.column("bucket").to_pylist()):
-                _, _, anchors, contexts = runs(text.as_buffer().to_pybytes())
-                if len(anchors):
-                    held.setdefault(bucket, []).append(np.stack([anchors, contexts], axis=1))
-                    size += len(anchors)
-            if size > 200_000:
-                yield from flush(held)
-                held, size = {}, 0
-        yield from flush(held)
-
-    def flush(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for bucket, found in held.items():
-            pairs = np.unique(np.concatenate(found), axis=0)
-            blobs = _blobs(pairs, _part(pairs[:, 0], parts), parts)
-            full = [p for p in range(parts) if blobs[p]]
-            columns = [pa.array(full, pa.int32()), pa.array([bucket] * len(full), pa.int32()), pa.array([blobs[p] for p in full], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "bucket", "pairs"])
+def _anchors(parts: int, crowded: int):
+    """One range -> (part, bucket, pairs): its distinct pairs; an anchor with over ``crowded`` of them sends one, with ``ALL``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = [runs(t.as_buffer().to_pybytes())[2:] for t in table.column("text")]
+        pairs = np.unique(np.stack([np.concatenate(c) for c in zip(*found)], axis=1), axis=0)
+        _, first, group, size = np.unique(pairs[:, 0], return_index=True, return_inverse=True, return_counts=True)
+        pairs[first[size > crowded], 1] = ALL
+        keep = size[group] <= crowded
+        keep[first] = True
+        pairs = pairs[keep]
+        blobs = _blobs(pairs, _part(pairs[:, 0], parts), parts)
+        full = [p for p in range(parts) if blobs[p]]
+        bucket = [table.column("bucket")[0].as_py()] * len(full)
+        return pa.table({"part": pa.array(full, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "pairs": pa.array([blobs[p] for p in full], pa.binary())})
 
     return run
 
 
 def _answer(table: pa.Table, crowded: int) -> pa.Table:
-    """All ranges' pairs of one partition of anchors -> (bucket, answers): run ids with their codes."""
+    """All ranges' pairs of one partition of anchors -> (bucket, answers): (anchor, context or ``ALL``, code)."""
     blobs = [np.frombuffer(b.as_buffer(), np.uint64).reshape(-1, 2) for b in table.column("pairs")]
     buckets = np.repeat(table.column("bucket").to_numpy(), [len(b) for b in blobs]).astype(np.int64)
     pairs = np.concatenate(blobs)
@@ -165,35 +161,53 @@ def _answer(table: pa.Table, crowded: int) -> pa.Table:
     anchor, context, buckets = pairs[order, 0], pairs[order, 1], buckets[order]
     new_anchor = np.concatenate(([True], anchor[1:] != anchor[:-1]))
     new_context = new_anchor | np.concatenate(([True], context[1:] != context[:-1]))
-    group = np.cumsum(new_anchor) - 1
-    contexts = np.bincount(group, weights=new_context)[group]
-    first = np.maximum.accumulate(np.where(new_context, np.arange(len(order)), 0))
-    code = np.where(buckets > buckets[first], SEEN, np.where(contexts > crowded, SINGLE, np.where(contexts > 1, SORT, 0)))
-    keep = np.flatnonzero(code)
-    ids = np.stack([_run_ids(anchor[keep], context[keep]), code[keep].astype(np.uint64)], axis=1)
-    names, owner = np.unique(buckets[keep], return_inverse=True)
+    group, pair = np.cumsum(new_anchor) - 1, np.cumsum(new_context) - 1
+    contexts = np.bincount(group, weights=new_context)
+    many = ((contexts > crowded) | (np.bincount(group, weights=context == ALL) > 0))[group]
+    sort = ~many & ((contexts[group] > 1) | (np.bincount(pair)[pair] > 1))
+    crowd = np.unique(np.stack([buckets[many].astype(np.uint64), anchor[many]], axis=1), axis=0)
+    rows = np.concatenate([
+        np.stack([anchor[sort], context[sort], np.full(sort.sum(), SORT, np.uint64)], axis=1),
+        np.stack([crowd[:, 1], np.full(len(crowd), ALL), np.full(len(crowd), SINGLE, np.uint64)], axis=1),
+    ])
+    names, owner = np.unique(np.concatenate([buckets[sort], crowd[:, 0].astype(np.int64)]), return_inverse=True)
     pa.default_memory_pool().release_unused()
-    return pa.table({"bucket": pa.array(names, pa.int32()), "answers": pa.array(_blobs(ids, owner, len(names)), pa.binary())})
+    return pa.table({"bucket": pa.array(names, pa.int32()), "answers": pa.array(_blobs(rows, owner, len(names)), pa.binary())})
+
+
+def _numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal pairs."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.concatenate(([0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(order) else 0
+    return out
 
 
 class _Range:
-    """The documents of one range in order, their runs, and what the answers say about them."""
+    """The documents of one range in order, their runs, and what is to be done with each.
+
+    ``code`` is ``SEEN`` for a run whose context is, byte by byte, that of an earlier run of the range.
+    """
 
     def __init__(self, texts: list[bytes], answers: pa.Table) -> None:
         found = [runs(t) for t in texts]
         self.texts, self.doc = texts, np.repeat(np.arange(len(texts)), [len(f[0]) for f in found])
         self.start, self.count, self.anchor, context = (np.concatenate(c) for c in zip(*found))
-        self.ids = _run_ids(self.anchor, context)
-        told = [np.frombuffer(b.as_buffer(), np.uint64).reshape(-1, 2) for b in answers.column("answers")]
-        told = np.concatenate(told) if told else np.zeros((0, 2), np.uint64)
-        order = np.argsort(told[:, 0], kind="stable")
-        known, codes = told[order, 0], told[order, 1].astype(np.int64)
-        at = np.minimum(np.searchsorted(known, self.ids), max(0, len(known) - 1))
-        hit = known[at] == self.ids if len(known) else np.zeros(len(self.ids), bool)
-        _, first = np.unique(self.ids, return_index=True)
-        fresh = np.zeros(len(self.ids), bool)
-        fresh[first] = True
-        self.code = np.where(fresh, np.where(hit, codes[at] if len(known) else 0, 0), SEEN)
+        told = [np.frombuffer(b.as_buffer(), np.uint64).reshape(-1, 3) for b in answers.column("answers")]
+        told = np.concatenate(told) if told else np.zeros((0, 3), np.uint64)
+        n, single = len(self.start), told[:, 2] == SINGLE
+        pair = _numbered(np.concatenate([self.anchor, told[~single, 0]]), np.concatenate([context, told[~single, 1]]))
+        self.code = np.where(np.isin(pair[:n], pair[n:]), SORT, 0)
+        self.code[np.isin(self.anchor, told[single, 0])] = SINGLE
+        _, first, group = np.unique(pair[:n], return_index=True, return_inverse=True)
+        first = first[group]
+        for r in np.flatnonzero(first < np.arange(n)).tolist():
+            f = int(first[r])
+            if self.context(r) == self.context(f):
+                self.code[r] = SEEN
+            else:  # a collision: both are compared by their suffixes
+                self.code[r], self.code[f] = max(self.code[r], SORT), max(self.code[f], SORT)
 
     def context(self, r: int) -> bytes:
         a = int(self.start[r])
@@ -201,11 +215,12 @@ class _Range:
 
     def singles(self) -> Iterator[tuple[int, int, int, bool]]:
         """Single windows to sort, in order: (run, offset, hash, whether an equal one came before)."""
-        seen: set[int] = set()
+        seen: dict[int, tuple[int, int]] = {}
+        window = lambda r, o: self.texts[self.doc[r]][int(self.start[r]) + o : int(self.start[r]) + o + WINDOW]
         for r in np.flatnonzero(self.code == SINGLE).tolist():
             for o, h in enumerate(_window_hashes(self.context(r)).tolist()):
-                yield r, o, h, h in seen
-                seen.add(h)
+                first = seen.setdefault(h, (r, o))
+                yield r, o, h, first != (r, o) and window(*first) == window(r, o)
 
 
 def _range_of(table: pa.Table, answers: pa.Table) -> tuple[pa.Table, _Range]:
@@ -214,17 +229,17 @@ def _range_of(table: pa.Table, answers: pa.Table) -> tuple[pa.Table, _Range]:
 
 
 def _segments(parts: int):
-    """A range and its answers -> (part, bucket, keys, ids, offsets, ends, bytes) of what is to be sorted."""
+    """A range and its answers -> (part, bucket, keys, runs, offsets, ends, bytes) of what is to be sorted."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        out = {n: [] for n in ("part", "bucket", "keys", "ids", "offsets", "ends", "data")}
-        if table.num_rows and answers.num_rows:
+        out = {n: [] for n in ("part", "bucket", "keys", "runs", "offsets", "ends", "data")}
+        if table.num_rows:
             bucket = table.column("bucket")[0].as_py()
             _, rng = _range_of(table, answers)
-            items = [(int(rng.anchor[r]), int(rng.ids[r]), 0, rng.context(r)) for r in np.flatnonzero(rng.code == SORT).tolist()]
+            items = [(int(rng.anchor[r]), r, 0, rng.context(r)) for r in np.flatnonzero(rng.code == SORT).tolist()]
             for r, o, h, before in rng.singles():
                 if not before:
-                    items.append((h, int(rng.ids[r]), o, rng.context(r)[o : o + WINDOW]))
+                    items.append((h, r, o, rng.context(r)[o : o + WINDOW]))
             keys = np.array([i[0] for i in items], dtype=np.uint64)
             owner = _part(keys, parts)
             for p in np.unique(owner).tolist():
@@ -232,7 +247,7 @@ def _segments(parts: int):
                 out["part"].append(p)
                 out["bucket"].append(bucket)
                 out["keys"].append(np.array([i[0] for i in own], np.uint64).tobytes())
-                out["ids"].append(np.array([i[1] for i in own], np.uint64).tobytes())
+                out["runs"].append(np.array([i[1] for i in own], np.int64).tobytes())
                 out["offsets"].append(np.array([i[2] for i in own], np.int32).tobytes())
                 out["ends"].append(np.cumsum([len(i[3]) for i in own]).astype(np.int64).tobytes())
                 out["data"].append(b"".join(i[3] for i in own))
@@ -243,25 +258,43 @@ def _segments(parts: int):
 
 
 def _sort_suffixes(table: pa.Table) -> pa.Table:
-    """One suffix bucket -> (bucket, marks): (run id, offset of a window that also starts earlier)."""
-    keys, ids, offsets, owners, segments = [], [], [], [], []
+    """One suffix bucket -> (bucket, marks): (run, offset, number of windows) of windows that also start earlier."""
+    keys, runs_, offsets, owners, segments = [], [], [], [], []
     buckets = table.column("bucket").to_numpy()
     cell = lambda name, row: table.column(name)[row].as_buffer()
     for row in np.argsort(buckets, kind="stable").tolist():
         keys.append(np.frombuffer(cell("keys", row), np.uint64))
-        ids.append(np.frombuffer(cell("ids", row), np.uint64))
+        runs_.append(np.frombuffer(cell("runs", row), np.int64))
         offsets.append(np.frombuffer(cell("offsets", row), np.int32))
-        owners.append(np.full(len(ids[-1]), buckets[row], np.int32))
+        owners.append(np.full(len(runs_[-1]), buckets[row], np.int32))
         ends, data = np.frombuffer(cell("ends", row), np.int64).tolist(), memoryview(cell("data", row))
         segments += [data[a:b] for a, b in zip([0, *ends], ends)]  # views, not copies
-    ids, offsets, owners = (np.concatenate(c) for c in (ids, offsets, owners))
-    repeated = repeated_windows(segments, np.concatenate(keys), np.arange(len(segments)))
-    counts = [int(r.sum()) for r in repeated]
-    at = np.concatenate([np.flatnonzero(r) for r in repeated]) + np.repeat(offsets, counts)
-    marks = np.stack([np.repeat(ids, counts), at.astype(np.uint64)], axis=1)
-    names, owner = np.unique(np.repeat(owners, counts), return_inverse=True)
+    keys, runs_, offsets, owners = (np.concatenate(c) for c in (keys, runs_, offsets, owners))
+    marks = _repeats(segments, keys)
+    rows = np.stack([runs_[marks[:, 0]], offsets[marks[:, 0]] + marks[:, 1], marks[:, 2]], axis=1).astype(np.int64)
+    names, owner = np.unique(owners[marks[:, 0]], return_inverse=True)
     pa.default_memory_pool().release_unused()
-    return pa.table({"bucket": pa.array(names, pa.int32()), "marks": pa.array(_blobs(marks, owner, len(names)), pa.binary())})
+    return pa.table({"bucket": pa.array(names, pa.int32()), "marks": pa.array(_blobs(rows, owner, len(names)), pa.binary())})
+
+
+def _repeats(segments: list[bytes | memoryview], keys: np.ndarray) -> np.ndarray:
+    """Stretches (segment, first window, windows) that are also in an earlier segment of the same key.
+
+    A segment equal to an earlier one is a stretch as it is; the suffixes of the others are sorted where their key has
+    several.
+    """
+    first: dict[tuple[int, bytes], int] = {}
+    equal = np.array([first.setdefault((k, bytes(s)), i) != i for i, (k, s) in enumerate(zip(keys.tolist(), segments))], dtype=bool)
+    del first
+    out = [(i, 0, len(segments[i]) - WINDOW + 1) for i in np.flatnonzero(equal).tolist()]
+    rest = np.flatnonzero(~equal)
+    _, group, size = np.unique(keys[rest], return_inverse=True, return_counts=True)
+    rest = rest[size[group] > 1]
+    found = repeated_windows([segments[i] for i in rest.tolist()], keys[rest], np.arange(len(rest)))
+    for i, repeated in zip(rest.tolist(), found):
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], repeated.view(np.int8), [0]))))
+        out += [(i, a, b - a) for a, b in edges.reshape(-1, 2).tolist()]
+    return np.array(out, dtype=np.int64).reshape(-1, 3)
 
 
 def _remove(id_type: pa.DataType):
@@ -273,16 +306,12 @@ def _remove(id_type: pa.DataType):
         if not table.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, types)})
         table, rng = _range_of(table, told.filter(told.column("answers").is_valid()))
-        marks = [np.frombuffer(b.as_buffer(), np.uint64).reshape(-1, 2) for b in told.column("marks").drop_null()]
-        marks = np.concatenate(marks) if marks else np.zeros((0, 2), np.uint64)
-        order = np.argsort(rng.ids, kind="stable")
-        place = np.searchsorted(rng.ids[order], marks[:, 0])  # the first run of an id is the one that was sent
-        runs_of = order[place] if len(order) else place
-        single = np.array([(r, o) for r, o, _, before in rng.singles() if before], dtype=np.int64).reshape(-1, 2)
+        marks = [np.frombuffer(b.as_buffer(), np.int64).reshape(-1, 3) for b in told.column("marks").drop_null()]
+        marks = np.concatenate(marks) if marks else np.zeros((0, 3), np.int64)
+        single = np.array([(r, o, 1) for r, o, _, before in rng.singles() if before], dtype=np.int64).reshape(-1, 3)
         whole = np.flatnonzero(rng.code == SEEN)
-        docs = np.concatenate([rng.doc[whole], rng.doc[runs_of], rng.doc[single[:, 0]]])
-        first = np.concatenate([rng.start[whole], rng.start[runs_of] + marks[:, 1].astype(np.int64), rng.start[single[:, 0]] + single[:, 1]])
-        count = np.concatenate([rng.count[whole], np.ones(len(runs_of) + len(single), np.int64)])
+        marks = np.concatenate([np.stack([whole, np.zeros_like(whole), rng.count[whole]], axis=1), marks, single])
+        docs, first, count = rng.doc[marks[:, 0]], rng.start[marks[:, 0]] + marks[:, 1], marks[:, 2]
         order = np.lexsort((first, docs))
         docs, first, count = docs[order], first[order], count[order]
         edges = np.searchsorted(docs, np.arange(len(rng.texts) + 1))
@@ -303,32 +332,37 @@ def _remove(id_type: pa.DataType):
     return run
 
 
-def remove_repeats(docs: DataFrame, ranges: int | None = None, crowded: int = CROWDED) -> DataFrame:
+def remove_repeats(docs: DataFrame, ranges: int | None = None, crowded: int = CROWDED, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept (the bytes left), kept_sha256; one row per row.
 
     Earlier means a smaller doc_id, null last; rows of equal doc_id are separate documents in order of a
     hash of their text, and of equal rows the first counts as earlier. Null texts are empty; texts of
     fewer than 100 bytes lose nothing. Cutting within a code point is possible, as bytes are judged.
-    Other columns are ignored; an empty table gives an empty result. Memory: one range of documents in a
-    task (choose ``ranges`` by the input's size) or one suffix bucket.
+    Other columns are ignored; an empty table gives an empty result.
+
+    Memory: one range of documents in a task, about ``range_bytes`` of text (unless ``ranges`` sets their number)
+    or the longest document, or one suffix bucket.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
     small_batches(spark)
     parts = shuffle_partitions(spark)
-    ranges = ranges or 4 * parts
+    if not ranges:
+        total = docs.agg(F.sum(F.octet_length(text_or_empty()).cast("bigint"))).first()[0] or 0
+        ranges = max(4 * parts, -(-total // range_bytes))
+    local = min(crowded, max(LEAST_CROWDED, ANCHOR_PAIRS // ranges))
     id_type = docs.schema["doc_id"].dataType
     rows = docs.select(
         "doc_id", F.col("doc_id").isNull().alias("none"), F.xxhash64(text_or_empty()).alias("key"),
         F.encode(text_or_empty(), "UTF-8").alias("text"),
     )
     rows = rows.withColumn("bucket", id_range(rows, ranges))
-    pairs = rows.select("bucket", "text").mapInArrow(_anchor_blobs(parts), "part int, bucket int, pairs binary")
-    answers = materialize(pairs.groupBy("part").applyInArrow(lambda t: _answer(t, crowded), "bucket int, answers binary"))
     grouped = rows.groupBy("bucket")
+    pairs = rows.select("bucket", "text").groupBy("bucket").applyInArrow(_anchors(parts, local), "part int, bucket int, pairs binary")
+    answers = materialize(pairs.groupBy("part").applyInArrow(lambda t: _answer(t, crowded), "bucket int, answers binary"))
     segments = grouped.cogroup(answers.groupBy("bucket")).applyInArrow(
-        _segments(2 * parts), "part int, bucket int, keys binary, ids binary, offsets binary, ends binary, data binary"
+        _segments(2 * parts), "part int, bucket int, keys binary, runs binary, offsets binary, ends binary, data binary"
     )
     marks = materialize(segments.groupBy("part").applyInArrow(_sort_suffixes, "bucket int, marks binary"))
     told = answers.withColumn("marks", F.lit(None).cast("binary")).unionByName(marks.withColumn("answers", F.lit(None).cast("binary")))
@@ -337,5 +371,6 @@ def remove_repeats(docs: DataFrame, ranges: int | None = None, crowded: int = CR
 
 
 def op6_repeats(spark, sf_dir: str) -> DataFrame:
+    """What is left of every document of ``documents``; odd rows as in ``remove_repeats``."""
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from byteplan.llm import repeats, suffixes
@@ -86,3 +88,48 @@ def test_windows_are_sorted():
 
 def test_cover_has_every_difference():
     assert {(a - b) % 31 for a in suffixes.COVER for b in suffixes.COVER} == set(range(31))
+
+
+def removed_in_process(rows, ranges, crowded, parts=3):
+    """The whole plan on Arrow tables, without Spark: rows -> (n_bytes, n_removed, n_spans, sha256)."""
+    tables = [
+        pa.table({
+            "doc_id": pa.array([i for i, _ in own], pa.int64()), "none": pa.array([False] * len(own)), "key": pa.array([hash(t) % 2**40 for _, t in own], pa.int64()),
+            "text": pa.array([t for _, t in own], pa.binary()), "bucket": pa.array([b] * len(own), pa.int32()),
+        })
+        for b, own in enumerate(np.array_split(np.array(rows, dtype=object), ranges)) if len(own)
+    ]
+
+    def grouped(found, by):
+        whole = pa.concat_tables(found)
+        return [whole.filter(pa.compute.equal(whole.column(by), k)) for k in pa.compute.unique(whole.column(by)).to_pylist()]
+
+    answers = pa.concat_tables([repeats._answer(t, crowded) for t in grouped([repeats._anchors(parts, crowded)(t) for t in tables], "part")])
+    of = lambda found, b: found.filter(pa.compute.equal(found.column("bucket"), b))
+    segments = [repeats._segments(parts)(t, of(answers, b)) for b, t in enumerate(tables)]
+    marks = [repeats._sort_suffixes(t) for t in grouped(segments, "part")]
+    marks = pa.concat_tables(marks) if marks else pa.table({"bucket": pa.array([], pa.int32()), "marks": pa.array([], pa.binary())})
+    told = pa.concat_tables([answers.append_column("marks", pa.nulls(len(answers), pa.binary())), marks.append_column("answers", pa.nulls(len(marks), pa.binary())).select(["bucket", "answers", "marks"])])
+    out = pa.concat_tables([repeats._remove(pa.int64())(t, of(told, b)) for b, t in enumerate(tables)]).to_pylist()
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out}
+
+
+@pytest.mark.parametrize(("ranges", "crowded"), [(1, 4096), (6, 4096), (4, 3), (3, 0)])
+@pytest.mark.parametrize("bits", [64, 3, 0])
+def test_colliding_hashes_remove_nothing_else(monkeypatch, ranges, crowded, bits):
+    """With hashes of a few bits nearly everything collides; what is removed stays the same."""
+    mask, inner = np.uint64((1 << bits) - 1), repeats._runs
+    monkeypatch.setattr(repeats, "_window_hashes", lambda c, f=repeats._window_hashes: f(c) & mask)
+    monkeypatch.setattr(repeats, "_runs", lambda text, at: (*(f := inner(text, at))[:2], f[2] & mask, f[3] & mask))
+    rows = [(i, (t or "").encode()) for i, t in corpus()]
+    assert removed_in_process(rows, ranges, crowded) == {i: b for (i, _), b in zip(rows, brute([t for _, t in rows]))}
+
+
+def test_every_hot_anchor_is_split():
+    """A range with many contexts of one anchor sends one pair for all of them."""
+    texts = [bytes([65 + i % 26, 97 + i // 26]) * 45 + b"the same twenty bytes" + bytes([97 + i % 26]) * 90 for i in range(200)]
+    table = pa.table({"text": pa.array(texts, pa.binary()), "bucket": pa.array([7] * 200, pa.int32())})
+    pairs = lambda most: np.concatenate([np.frombuffer(b, np.uint64).reshape(-1, 2) for b in repeats._anchors(2, most)(table).column("pairs").to_pylist()])
+    most = np.unique(pairs(10_000)[:, 0], return_counts=True)[1].max()
+    assert most > 16 and np.unique(pairs(16)[:, 0], return_counts=True)[1].max() <= 16
+    assert set(pairs(16)[:, 0]) == set(pairs(10_000)[:, 0])
