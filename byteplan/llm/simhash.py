@@ -1,18 +1,22 @@
 """SimHash near-duplicates by pivot distance tables.
 
 Fingerprints are made in Arrow batches (hashing every shingle is the whole cost); the search runs
-on distinct fingerprints in DataFrames. Every fingerprint gets a row of Hamming distances to
-``1 + 64`` reference fingerprints: a base pivot and, for each bit, the base with that bit flipped;
-and to a few far pivots. By the triangle inequality two fingerprints within ``r`` bits differ by at
-most ``r`` in every coordinate. The bits are cut into ``r + 1`` blocks; fingerprints within ``r``
-bits agree in at least one block, and so in all that block's coordinates relative to the base. Those
-coordinates are the join key (a cell of the table); within a cell, pairs whose largest coordinate
-difference exceeds ``r`` are discarded and the others verified.
-
-A cell with very many fingerprints is not paired: its fingerprints meet at *neighbour pivots*, the
-points one bit away. Two fingerprints within two bits share such a point and points one bit from a
-common point are within two bits, so linking all of a point's (at most 65) fingerprints to the
-least of them loses no link and emits no pairs.
+on distinct fingerprints in DataFrames, by their Hamming distances to reference fingerprints (pivots).
+
+*Candidates.* A base pivot and pivots that differ from it only within some set of bits tell how a
+fingerprint lies in those bits: the distances to them, less the distance to the base, are the same for two
+fingerprints that do not differ there. The bits are cut into three bands; two fingerprints within two bits do not
+differ in at least one of them, so they agree in all its distances. A band's distances, hashed, are a cell.
+A cell with many fingerprints is cut again in the same way: its remaining bits into three bands, with pivots
+for each, and so on; near fingerprints stay together on at least one path, and after ``LEVELS`` steps a cell has room
+for few fingerprints. So cells are small whatever the number of fingerprints or the size of a cluster, no pairs of a
+large group are made, and no link is lost.
+
+*Discarding.* Within a cell, pairs whose largest difference of distances to random far pivots exceeds the radius
+cannot be near (triangle inequality) and are dropped; the others are verified.
+
+Random pivots alone cannot make the cells: a random pair passes one of them with a chance of a third, and a key
+that tolerates differences of two would have to be copied to about two neighbours for each pivot in it.
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ SHINGLE = 3
 SEED = 42
 #: Fingerprints link at this many differing bits or fewer.
 RADIUS = 2
-#: Cells with more distinct fingerprints than this are searched by neighbour pivots.
-CELL = 64
+#: Cells with more distinct fingerprints than this are cut again, at most to this depth.
+CELL, LEVELS = 64, 6
 #: Fingerprints of more rows than this are spread over so many keys when rows meet their groups.
 HOT, SALTS = 1000, 64
 #: Hashes that are counted bit by bit at once.
@@ -41,6 +45,8 @@ BLOCK = 1 << 16
 
 _BASE = 0x5A17C93E6B20D48F
 _FAR = tuple(xxhash.xxh64_intdigest(b"pivot %d" % i, SEED) for i in range(8))
+#: Which bits of a band a pivot flips; more of them than a band has bits.
+_FLIPS = tuple(xxhash.xxh64_intdigest(b"flip %d" % i, SEED) for i in range(24))
 
 
 def _signed(x: int) -> int:
@@ -86,50 +92,69 @@ def _distance(a: Column, pivot: int) -> Column:
     return F.bit_count(a.bitwiseXOR(F.lit(_signed(pivot)))).cast("int")
 
 
-def pivot_table(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp) -> fp, far (distances to the far pivots), cells (one key per block of bits).
+def _bands(level: int) -> tuple[int, int, int]:
+    """The three sets of bits, as masks, into which this level cuts what is left.
 
-    A cell's key packs the distances to the block's pivots relative to the base pivot (each -1 or
-    +1) into a number.
+    The first cuts neighbouring bits; the others cut by digits (or sums of digits) of a bit's number, so that any
+    choices of earlier levels are cut evenly.
     """
-    fp, blocks = F.col("fp"), radius + 1
+    if level == 0:
+        value = [next(b for b in range(3) if i < 64 * (b + 1) // 3) for i in range(64)]
+    else:
+        a, b, c = ((1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 1), (1, 2, 1))[level - 1]
+        value = [(a * i + b * (i // 3) + c * (i // 9)) % 3 for i in range(64)]
+    return tuple(sum(1 << i for i in range(64) if value[i] == k) for k in range(3))
+
+
+def _cell(fp: Column, band: Column, before: Column) -> Column:
+    """The cell, within the cell ``before``, of the distances to the pivots that differ from the base within ``band``."""
     base = _distance(fp, _BASE)
-    cells = []
-    for b in range(blocks):
-        bits = range(64 * b // blocks, 64 * (b + 1) // blocks)
-        key = F.lit(0).cast("long")
-        for i, bit in enumerate(bits):
-            relative = _distance(fp, _BASE ^ (1 << bit)) - base
-            key = key + F.shiftleft(F.shiftright(relative + 1, 1).cast("long"), i)
-        cells.append(F.struct(F.lit(b).alias("block"), key.alias("cell")))
+    flipped = [F.lit(_signed(_BASE)).bitwiseXOR(band.bitwiseAND(F.lit(_signed(x)))) for x in _FLIPS]
+    return F.xxhash64(before, band, *[F.bit_count(fp.bitwiseXOR(p)).cast("int") - base for p in flipped])
+
+
+def pivot_table(fingerprints: DataFrame) -> DataFrame:
+    """(fp) -> fp, far (distances to the far pivots), cells (block, cell: one for each band of the first level)."""
+    fp = F.col("fp")
+    cells = [F.struct(F.lit(b).alias("block"), _cell(fp, F.lit(_signed(band)), F.lit(0).cast("long")).alias("cell")) for b, band in enumerate(_bands(0))]
     far = [_distance(fp, p).cast("tinyint").alias(f"d{i}") for i, p in enumerate(_FAR)]
     return fingerprints.select("fp", F.struct(*far).alias("far"), F.array(*cells).alias("cells"))
 
 
+def _cut(rows: DataFrame, level: int) -> DataFrame:
+    """(fp, cell, agreed: bits whose distances made the cell) -> the same, of the next level; cells of one row are left out."""
+    rest = F.bitwise_not("agreed")
+    bands = F.explode(F.array(*[rest.bitwiseAND(F.lit(_signed(b))) for b in _bands(level)])).alias("band")
+    rows = rows.select("fp", "cell", "agreed", bands)
+    rows = rows.select("fp", _cell(F.col("fp"), F.col("band"), F.col("cell")).alias("cell"), F.col("agreed").bitwiseOR(F.col("band")).alias("agreed"))
+    sizes = rows.groupBy("cell", "agreed").agg(F.count("*").alias("n")).filter("n > 1")
+    return rows.join(sizes, ["cell", "agreed"])
+
+
 def near_links(fingerprints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints within ``radius`` bits (at most 2).
+    """Links (a, b), a < b, between all distinct fingerprints within ``radius`` bits (at most 2).
 
-    ``fingerprints`` has one column ``fp`` of distinct longs. Every pair within the radius is
-    connected by links between fingerprints within the radius, directly or over one more.
+    ``fingerprints`` has one column ``fp`` of distinct longs; an empty table gives no links.
     """
     if radius > 2:
-        raise ValueError("neighbour pivots reach two bits")
-    rows = pivot_table(fingerprints, radius).select("fp", "far", F.explode("cells").alias("c")).select("fp", "far", "c.*")
-    sizes = rows.groupBy("block", "cell").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = materialize(rows.join(sizes, ["block", "cell"]))
-    left = rows.filter(F.col("n") <= cell).select("block", "cell", F.col("fp").alias("a"), F.col("far").alias("x"))
-    right = left.select("block", "cell", F.col("a").alias("b"), F.col("x").alias("y"))
+        raise ValueError("three bands reach two bits")
+    rows, found = fingerprints.select("fp", F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("agreed")), None
+    far = F.array(*[_distance(F.col("fp"), p).cast("tinyint") for p in _FAR])
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     for i in range(len(_FAR)):
-        near = (F.abs(F.col(f"x.d{i}") - F.col(f"y.d{i}")) <= radius) & near
-    pairs = left.join(right, ["block", "cell"]).filter(near).select("a", "b")
-
-    crowded = rows.filter(F.col("n") > cell).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64)])
-    points = crowded.select("fp", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), "fp")
-    met = points.groupBy("point").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    stars = met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b")
-    return pairs.unionByName(stars).distinct()
+        near = (F.abs(F.col("x")[i].cast("int") - F.col("y")[i].cast("int")) <= radius) & near
+    for level in range(LEVELS):
+        rows = materialize(_cut(rows, level))
+        last = level == LEVELS - 1 or not rows.filter(F.col("n") > cell).take(1)
+        here = rows if last else rows.filter(F.col("n") <= cell)
+        left = here.select("cell", "agreed", F.col("fp").alias("a"), far.alias("x"))
+        right = left.select("cell", "agreed", F.col("a").alias("b"), F.col("x").alias("y"))
+        pairs = left.join(right, ["cell", "agreed"]).filter(near).select("a", "b")
+        found = pairs if found is None else found.unionByName(pairs)
+        if last:
+            break
+        rows = rows.filter(F.col("n") > cell).select("fp", "cell", "agreed")
+    return found.distinct()
 
 
 _IDENT = ("doc_id", "key")
@@ -176,15 +201,23 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group, columns as they were."""
+    """``docs`` with one row of each near-duplicate group, columns as they were.
+
+    The group's smallest doc_id stays, null last; of rows of one doc_id the one whose text has the least hash, and of
+    rows that agree in both the one whose columns together do, so reruns agree. Null and empty texts are alike and form
+    one group; very long texts are like others. An empty table gives an empty result.
+    """
     first = F.col("group_first")
     kept = _groups(materialize(with_fingerprints(docs)), radius).select(first["doc_id"].alias("nd_id"), first["key"].alias("nd_key")).distinct()
     keyed = docs.withColumn("nd_doc_key", F.xxhash64(text_or_empty()))
     on = F.col("doc_id").eqNullSafe(F.col("nd_id")) & (F.col("nd_doc_key") == F.col("nd_key"))
-    return keyed.join(kept, on, "left_semi").dropDuplicates(["doc_id", "nd_doc_key"]).drop("nd_doc_key")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    one = keyed.join(kept, on, "left_semi").groupBy("doc_id", "nd_doc_key").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("nd_row"))
+    return one.select(*[F.col("nd_row")[c].alias(c) for c in docs.columns])
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document of ``documents``; odd rows as in ``near_duplicates``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -103,3 +103,40 @@ def test_one_document_of_each_group_stays(spark, docs, texts, nothing):
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     assert 3 in ids and 108 not in ids and ids.count(109) == 2
     assert simhash.drop_near_duplicates(nothing).count() == 0
+
+
+def test_bands_cut_all_bits_at_every_level():
+    for level in range(simhash.LEVELS):
+        bands = simhash._bands(level)
+        assert sum(bands) == 2**64 - 1 and bands[0] & bands[1] == bands[0] & bands[2] == bands[1] & bands[2] == 0
+    agreed = {0}
+    for level in range(simhash.LEVELS):
+        agreed = {a | b for a in agreed for b in simhash._bands(level)}
+    assert max(64 - bin(a).count("1") for a in agreed) <= 12
+
+
+@pytest.mark.parametrize("cell", [64, 3])
+def test_crowded_cells_keep_every_link(spark, cell):
+    """All 1,024 values of ten bits, a chain of steps of two bits, and a cluster of which only some are near."""
+    rng = np.random.default_rng(8)
+    cube = [0x123456789ABCDEF0 ^ sum(1 << (6 * j) for j in range(10) if i >> j & 1) for i in range(1024)]
+    chain = [0]
+    for k in range(0, 62, 2):
+        chain.append(chain[-1] ^ (3 << k))
+    center = int(rng.integers(0, 2**63))
+    loose = [center ^ sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(300)]
+    values = sorted({*cube, *chain, *loose})
+    frame = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long")
+    got = {tuple(sorted((r["a"] % 2**64, r["b"] % 2**64))) for r in simhash.near_links(frame, cell=cell).collect()}
+    array = np.array(values, dtype=np.uint64)
+    want = set()
+    for i, v in enumerate(values):
+        near = np.bitwise_count(array[i + 1 :] ^ np.uint64(v)) <= 2
+        want |= {(v, int(w)) for w in array[i + 1 :][near]}
+    assert got == want and len(want) > 28_000
+
+
+def test_equal_ids_and_texts_keep_the_same_row(spark):
+    rows = [(1, "same words here", lang, source) for lang in ("en", "de", None) for source in ("a", "b", None)] * 3
+    kept = [simhash.drop_near_duplicates(spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, lang string, source string")).collect() for k in (0, 4, 17)]
+    assert len(kept[0]) == 1 and kept[0] == kept[1] == kept[2]
