@@ -77,3 +77,20 @@ def test_redaction(spark, docs, nothing):
 def test_native(spark, docs, rule):
     plan = pii.find_pii(docs, (rule,) if rule.base else (pii.RULES[0], rule))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_very_many_matches(spark):
+    text = "".join(f"mail a{i}@b.cd, phone 415-555-{1000 + i % 9000} é " for i in range(5000)) + "call +1 415-555-1234 or 4111-1111-1111-1111 "
+    frame = spark.createDataFrame([(0, text, 1)], "doc_id long, text string, n_chars long")
+    spans = pii.find_pii(frame).first()["pii_spans"]
+    assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in spans if s["base"]] == brute(text)
+    more = [(m.start(), m.end()) for m in re.finditer(r"(?<=phone )[0-9]{3}-[0-9]{3}-[0-9]{4}", text)]
+    assert [(s["start"], s["end"]) for s in spans if s["kind"] == "local_phone"] == more  # the one inside +1 415-555-1234 gave way
+    want = re.sub(r"(?<=phone )[0-9]{3}-[0-9]{3}-[0-9]{4}", "<LOCAL_PHONE>", re.sub(r"a[0-9]+@b\.cd", "<EMAIL>", text))
+    want = want.replace("+1 415-555-1234", "<PHONE>").replace("4111-1111-1111-1111", "<CARD>")
+    assert pii.redact_pii(frame).first()["text"] == want
+
+
+def test_redaction_keeps_marks_and_wide_characters(spark):
+    frame = spark.createDataFrame([("﻿x 😀a@b.cd﻿ y 😀 c@d.ef﻿",)], "text string")
+    assert pii.redact_pii(frame).first()["text"] == "﻿x 😀<EMAIL>﻿ y 😀 <EMAIL>﻿"
