@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks
+from .url_table import labelled_urls
 
 #: (verdict, rule): the rule is a host (it and all its subdomains) with the start of a path.
 RULES = (
@@ -27,26 +27,14 @@ BUCKETS, GRAMS = 1 << 14, (3, 4, 5)
 #: URLs are blocked from this score on.
 CUT = 0.5
 
+#: Words the table holds on either side, in hosts and in paths.
 _BAD = "casino poker betting jackpot porn xxx escort viagra pills spam malware phishing warez crack torrent scam clickbait linkfarm cheap replica adserver tracker".split()
 _GOOD = "news blog wiki museum library weather recipes garden school history science travel music sports docs forum market city health film calendar gallery".split()
-#: Hosts and paths are the same for either kind, so only the words in them tell them apart.
-_HOSTS = ("www.{w}.example.com", "{w}-site.example.net", "m.my-{w}.example.org")
-_PATHS = ("/en/{n}.html", "/fr/{n}/", "/de/{n}?page=2&ref=x", "/es/{n}#top")
 
 
 def default_table() -> list[tuple[str, bool]]:
-    """The small labelled table: (url, is to be blocked), three forms of each word, one or two with it in the path too, and some neutral hosts."""
-    rows = []
-    for i, pair in enumerate(zip(_BAD, _GOOD)):
-        for j, host in enumerate(_HOSTS):
-            path = _PATHS[(i + j) % len(_PATHS)].format(n=397 * (3 * i + j) % 9973)
-            rows += [(f"https://{host.format(w=w)}{f'/{w}' if j == 2 or (j == 1 and i % 3 == 0) else ''}{path}", bad) for w, bad in zip(pair, (True, False))]
-    first, vowels, last = "bdfglmnprsth", "aeiou", "nrstdlm"
-    for i in range(60):  # names made of plain syllables
-        name = "".join(first[(i * 7 + k * 5) % 12] + vowels[(i * 3 + k) % 5] + last[(i + 3 * k) % 7] for k in range(2))
-        path = _PATHS[i % 4].format(n=i * 163 % 9973)
-        rows.append((f"https://{('www', 'm', 'blog', 'shop')[i % 4]}.{name}.example.{('com', 'net', 'org')[i % 3]}{path}", False))
-    return rows
+    """The small labelled table: (url, is to be blocked)."""
+    return labelled_urls()
 
 
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -62,17 +50,44 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(_LOWER), _PATH_END.split(rest[len(host) :], maxsplit=1)[0]
 
 
-_PIECE = re.compile(r"[^/._~%=-]+")
+_SEPARATORS = re.compile(r"[/._~%=-]+")
+#: Edges of a word; in a URL itself they count as spaces.
+_OPEN, _CLOSE = 2, 3
+_PLAIN = str.maketrans({_OPEN: " ", _CLOSE: " "})
+_STEP, _SALTS, _EITHER = np.uint32(0x01000193), (np.uint32(0x811C9DC5), np.uint32(0x2F0B4C47)), np.uint32(0x5BD1E995)
 
 
-def grams(host: str, path: str) -> np.ndarray:
-    """Buckets of the distinct n-grams of the words of host and path, kept apart; words are marked at their ends."""
-    found = set()
-    for kind, text in ((b"h", host), (b"p", path)):
-        for word in _PIECE.findall(text):
-            data = f"<{word}>".encode("utf-8", "surrogatepass")
-            found.update(zlib.crc32(kind + data[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(data) - n + 1))
-    return np.array(sorted(found), dtype=np.int64)
+def grams_of(urls: Sequence[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, bucket): the distinct n-grams of the words of each (host, path); words are marked at their ends.
+
+    Each counts once for its part and once for either part, so that a word known from hosts says something in a path too. All n-grams of all URLs are hashed together, a byte of each at a time.
+    """
+    edge, pieces = f"{chr(_CLOSE)}{chr(_OPEN)}", []
+    for url in urls:
+        for text in url:
+            words = _SEPARATORS.sub(edge, text.translate(_PLAIN))
+            pieces.append(f"{chr(_OPEN)}{words}{chr(_CLOSE)}".encode("utf-8", "surrogatepass"))
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    part = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+    places = np.arange(len(data))
+    close = np.minimum.accumulate(np.where(data == _CLOSE, places, len(data))[::-1])[::-1]  # where a place's word ends
+    keys = []
+    for n in GRAMS:
+        at = np.flatnonzero(places + n - 1 <= close)
+        at = at[at + n <= len(data)]
+        for salt in (np.where(part[at] % 2 == 0, *_SALTS), np.full(len(at), _EITHER)):
+            h = salt
+            for j in range(n):
+                h = (h ^ data[at + j]) * _STEP
+            h ^= h >> np.uint32(15)
+            keys.append(part[at] // 2 * BUCKETS + ((h * np.uint32(0x2C1B3C6D)) >> np.uint32(8)) % np.uint32(BUCKETS))
+    keys = np.unique(np.concatenate(keys))
+    return keys // BUCKETS, keys % BUCKETS
+
+
+def _lengths(owner: np.ndarray, n: int) -> np.ndarray:
+    """What each URL's sum of weights is divided by."""
+    return np.maximum(1.0, np.sqrt(np.bincount(owner, minlength=n)))
 
 
 @dataclass
@@ -80,11 +95,16 @@ class UrlModel:
     weights: np.ndarray
     bias: float
 
+    def scores(self, urls: Sequence[tuple[str, str]]) -> np.ndarray:
+        """Probability that each (host, path) is to be blocked: the two alone decide."""
+        if not urls:
+            return np.zeros(0)
+        owner, bucket = grams_of(urls)
+        x = self.bias + np.bincount(owner, weights=self.weights[bucket], minlength=len(urls)) / _lengths(owner, len(urls))
+        return 1 / (1 + np.exp(-x))
+
     def score(self, host: str, path: str) -> float:
-        """Probability that the URL is to be blocked: host and path alone decide."""
-        g = grams(host, path)
-        x = self.bias + self.weights[g].sum() / max(1.0, len(g) ** 0.5)
-        return float(1 / (1 + np.exp(-x)))
+        return float(self.scores([(host, path)])[0])
 
 
 def train_url_model(table: Sequence[tuple[str, bool]] | None = None, steps: int = 1500, rate: float = 8.0, decay: float = 1e-5) -> UrlModel:
@@ -94,12 +114,12 @@ def train_url_model(table: Sequence[tuple[str, bool]] | None = None, steps: int
     """
     rows = default_table() if table is None else list(table)
     weights, bias = np.zeros(BUCKETS), -1.0
-    found = [grams(*split_url(u)) for u, _ in rows]
+    if not rows:
+        return UrlModel(weights, bias)
     y = np.array([float(b) for _, b in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(g) for g in found])
-    flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-    scale = np.array([max(1.0, len(g) ** 0.5) for g in found])
-    for _ in range(steps if rows else 0):
+    owner, flat = grams_of([split_url(u) for u, _ in rows])
+    scale = _lengths(owner, len(rows))
+    for _ in range(steps):
         x = bias + np.bincount(owner, weights=weights[flat], minlength=len(rows)) / scale
         error = (1 / (1 + np.exp(-x)) - y) / len(rows)
         weights -= rate * (np.bincount(flat, weights=(error / scale)[owner], minlength=BUCKETS) + decay * weights)
@@ -140,11 +160,10 @@ def judge_urls(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str
     index = rule_index(rules)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, 8192):
-            out = []
-            for url in batch.column("url").to_pylist():
-                host, path = split_url(url)
-                rule, score = match_rule(host, path, index), model.score(host, path)
+        for batch in chunks(batches, 4096):
+            urls, out = [split_url(url) for url in batch.column("url").to_pylist()], []
+            for (host, path), score in zip(urls, model.scores(urls).tolist()):
+                rule = match_rule(host, path, index)
                 out.append((host, path, rule and rule[0], rule[1] if rule else "block" if score >= cut else "allow", score))
             columns = list(zip(*out)) if out else [()] * 5
             types = [pa.string()] * 4 + [pa.float64()]
@@ -159,4 +178,5 @@ def judge_urls(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str
 
 
 def op7_urls(spark, sf_dir: str) -> DataFrame:
+    """The verdict on every url of ``pages``; odd rows as in ``judge_urls``."""
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), train_url_model())

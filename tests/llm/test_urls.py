@@ -1,3 +1,7 @@
+import math
+import re
+
+import duckdb
 import pytest
 
 from byteplan.llm import urls
@@ -61,3 +65,50 @@ def test_words_in_paths_decide():
     blocked = lambda words: sum(model.score("www.tonder.example.com", f"/{w}/12.html") >= urls.CUT for w in words)
     assert blocked(urls._BAD) >= 0.8 * len(urls._BAD) and blocked(urls._GOOD) == 0 and blocked(["en"]) == 0
     assert blocked(["casino"])
+
+
+def brute_score(model, host, path):
+    """The score with every n-gram of every word hashed on its own."""
+    found = set()
+    for salt, text in zip(urls._SALTS, (host, path)):
+        for word in re.split("[/._~%=-]+", text):
+            data = b"\2" + word.encode() + b"\3"
+            for n in urls.GRAMS:
+                for i in range(len(data) - n + 1):
+                    for h in (int(salt), int(urls._EITHER)):
+                        for c in data[i : i + n]:
+                            h = (h ^ c) * 0x01000193 % 2**32
+                        found.add(((h ^ h >> 15) * 0x2C1B3C6D % 2**32 >> 8) % urls.BUCKETS)
+    x = model.bias + sum(model.weights[b] for b in found) / max(1, len(found)) ** 0.5
+    return 1 / (1 + math.exp(-x))
+
+
+def test_every_page_against_sql_and_brute_force(spark):
+    """Host, path and rule by SQL, the other verdicts n-gram by n-gram, over the whole table."""
+    data = "/root/testdata/sf0.01"
+    sql = f"""WITH u AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM read_parquet('{data}/pages.parquet')),
+    s AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+    p AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM s),
+    r(verdict, rule, host, start) AS (VALUES {", ".join(f"('{v}', '{r}', '{r[: r.index('/')]}', '{r[r.index('/') :]}')" for v, r in urls.RULES)}),
+    f AS (SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS place FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(path, start))
+    SELECT page_id, host, path, f.rule, f.verdict FROM p LEFT JOIN f USING (page_id) WHERE coalesce(place, 1) = 1"""
+    want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    got = {r["page_id"]: r for r in urls.op7_urls(spark, data).collect()}
+    model = urls.train_url_model()
+    assert set(got) == set(want)
+    for i, (host, path, rule, verdict) in want.items():
+        score = brute_score(model, host, path)
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule) and math.isclose(got[i]["score"], score, rel_tol=1e-9)
+        assert got[i]["verdict"] == (verdict or ("block" if score >= urls.CUT else "allow"))
+
+
+def test_held_out_precision_and_recall():
+    table, right, blocked, bad = urls.default_table(), 0, 0, 0
+    for k in range(5):
+        model = urls.train_url_model([row for i, row in enumerate(table) if i % 5 != k])
+        for u, b in table[k::5]:
+            verdict = model.score(*urls.split_url(u)) >= urls.CUT
+            right, blocked, bad = right + (verdict and b), blocked + verdict, bad + b
+    assert right / blocked >= 0.85 and right / bad >= 0.85
+    single = [u for u, b in table if not b and any(w in u for w in ("poker", "casino", "pills", "phishing"))]
+    assert len(single) >= 4  # words of blocked sites in harmless URLs
