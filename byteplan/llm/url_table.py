@@ -193,6 +193,9 @@ blog.bosnet.example.com/archive/2020/05
 shop.rimdal.example.net/shipping/returns
 www.nolset.example.org/faq
 www.sotmir.example.com/12.html
+help.printerco.example.com/install/drivers
+www.nethelp.example.org/install/router
+www.elections.example.com/results/turnout
 m.tildan.example.net/en/9000.html
 www.warsol.example.com/story/3310.html
 m.yarnel.example.net/story/12
