@@ -144,14 +144,14 @@ def fingerprint_neighbours(docs: DataFrame, ranges: int | None = None) -> DataFr
     The edited text has its last third (rounded down) replaced by as many first code points of the next
     document in descending doc_id, the first document following the last. Null ids come last, equal ids
     are ordered by a hash of their text, and equal rows follow one another; a single row is its own
-    neighbour. Null texts are empty; two empty texts are alike (1). Other columns are ignored.
-    Memory is a few times the longest text.
+    neighbour. Null texts are empty; two empty texts are alike (1). Other columns are ignored; an empty table gives an
+    empty result. Every range has a partition of its own, streamed row by row: memory is a few times the longest text.
     """
     spark = docs.sparkSession
     ranges = ranges or max(64, 2 * shuffle_partitions(spark))
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("key"), text_or_empty().alias("text"))
     placed, _ = _ranges(rows, ranges)
-    placed = placed.repartition(shuffle_partitions(spark), "bucket")
+    placed = placed.repartitionById(2 * ranges + 1, "bucket")  # a range each; null ids have as many again
     placed = placed.sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), "key")
     id_type = docs.schema["doc_id"]
 
@@ -185,4 +185,5 @@ def fingerprint_neighbours(docs: DataFrame, ranges: int | None = None) -> DataFr
 
 
 def op2_fingerprint(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document of ``documents``; odd rows as in ``fingerprint_neighbours``."""
     return fingerprint_neighbours(spark.read.parquet(f"{sf_dir}/documents.parquet"))

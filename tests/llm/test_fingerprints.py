@@ -33,6 +33,24 @@ def test_ring_over_ranges(spark, ranges):
     assert one["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("ranges", [1, 6])
+def test_order_of_null_and_repeated_ids(spark, ranges):
+    """Descending ids, null last; equal ids by a hash of their text; equal rows one after another."""
+    texts = [f"some text {i} " * (i % 3 + 1) for i in range(12)]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[2]), (7, texts[3]), (7, texts[3]), (7, texts[3]), (None, texts[4]), (None, texts[5]), (None, texts[5]), (9, None), (9, ""), (1, texts[6])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {r["t"]: r["k"] for r in frame.selectExpr("coalesce(text, '') AS t", "xxhash64(coalesce(text, '')) AS k").collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), keys[r[1]]))
+    if ranges > 1:  # null ids are spread by their key, so only their share of the ring is known
+        order = [r for r in order if r[0] is not None]
+    edit = lambda t, n: hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest()
+    got = fp.fingerprint_neighbours(frame, ranges=ranges).collect()
+    assert len(got) == len(rows)
+    want = [(str(i), fp.as_hex(fp.order_minhash(t)), edit(t, order[(k + 1) % len(order)][1])) for k, (i, t) in enumerate(order)]
+    have = [(str(r["doc_id"]), r["fingerprint"], r["edited_sha256"]) for r in got]
+    assert sorted(want) == sorted(have) if ranges == 1 else not set(want[:-1]) - set(have)
+
+
 def slow(text):
     """Order MinHash with sorting for every function."""
     x = fp.kmers(text)
