@@ -158,7 +158,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows of equal (doc_id, source, text) come out as one row whose ``rows`` says how many there
     were and whose ``taken`` is their sum; documents of which the mix takes nothing are absent,
-    unless they have no words at all (there is nothing to take or leave).
+    unless they have no words at all (there is nothing to take or leave). Where such rows differ in
+    ``lang``, the least is shown, null first, so reruns agree. An empty table gives an empty mix.
     """
     same = ["doc_id", "source", "size", "key"]
     plan = mix_plan(docs, **options)
@@ -166,7 +167,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     keyed = docs.select(
         F.col("doc_id").alias("d_id"), F.col("source").alias("d_source"), F.xxhash64(text_or_empty()).alias("d_key"), "text", "lang"
     )
-    keyed = keyed.groupBy("d_id", "d_source", "d_key").agg(F.first("text").alias("text"), F.first("lang").alias("lang"))
+    keyed = keyed.groupBy("d_id", "d_source", "d_key").agg(F.min("text").alias("text"), F.min(F.struct("lang"))["lang"].alias("lang"))
     on: Column = (
         F.col("doc_id").eqNullSafe(F.col("d_id")) & F.col("source").eqNullSafe(F.col("d_source")) & (F.col("key") == F.col("d_key"))
     )
@@ -179,5 +180,6 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
+    """The plan of the mix for every document of ``documents``; odd rows as in ``mix_plan``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken")
