@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import chunks, shuffle_partitions
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: Bytes of the largest vocabulary file that is sent with the tasks.
+MOST_VOCABULARY = 1 << 26
 #: The template: BOS before a conversation, then for each turn the role between ROLE marks, the text, EOS.
 BOS, EOS, ROLE, TEXT = "<s>", "</s>", "[INST]", "[/INST]"
 #: A conversation longer than this is encoded in parts that end between two turns; the control strings
@@ -41,12 +43,20 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(lambda m: m[1] or m[2], text)
 
 
-def load_tokenizer(path: str):
-    """A tokenizer whose special tokens are the template's control strings, with exact offsets."""
+def tokenizer_json(path: str) -> str:
+    """The vocabulary file, read once on the driver; it travels with the tasks, so executors need no copy of their own."""
+    if os.path.getsize(path) > MOST_VOCABULARY:
+        raise ValueError(f"{path} has over {MOST_VOCABULARY} bytes")
+    with open(path, encoding="utf-8") as file:
+        return file.read()
+
+
+def load_tokenizer(vocabulary: str):
+    """A tokenizer, from the text of its file, whose special tokens are the template's control strings, with exact offsets."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import AddedToken, Tokenizer, processors
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_str(vocabulary)
     tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)
     tokenizer.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (BOS, EOS, ROLE, TEXT)])
     return tokenizer
@@ -72,36 +82,47 @@ def format_conversations(turns: DataFrame, tokenizer: str = TOKENIZER, part_char
     partition: the rendered text, the tokens with their character offsets in it, and which of them
     count for the loss (those of texts whose role is ``assistant``). Turns are in order of turn, null
     first, then role and text, so ties and repeated rows have a fixed order. Null roles and texts are
-    empty; a null conv_id is a conversation like any other. Other columns are ignored.
+    empty; a null conv_id is a conversation like any other. Other columns are ignored; an empty table gives an empty
+    result.
 
     Conversations are spread by a hash of their id and streamed in order, a part at a time in memory.
     """
-    id_type = turns.schema["conv_id"].dataType.simpleString()
+    rows, encode = _in_order(turns), _encoder(turns, tokenizer, part_chars)
+    return rows.mapInArrow(encode, f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, {_SCHEMA}")
+
+
+def _in_order(turns: DataFrame) -> DataFrame:
     rows = turns.select(
         "conv_id", "turn", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text"))
     )
-    rows = rows.repartition(shuffle_partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return rows.repartition(shuffle_partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+
+def _encoder(turns: DataFrame, tokenizer: str, part_chars: int):
+    """Turns in order -> batches of formatted parts."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    batch_type, vocabulary = to_arrow_type(turns.schema["conv_id"].dataType), tokenizer_json(tokenizer)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load_tokenizer(tokenizer)
+        encoder = load_tokenizer(vocabulary)
         for parts in _bundles(_parts(batches, part_chars)):
             encoded = encoder.encode_batch([text for _, _, text, _ in parts], add_special_tokens=False)
             offsets = [np.array(e.offsets, dtype=np.int32).reshape(-1, 2) for e in encoded]
             masks = [mask_tokens(o[:, 0], o[:, 1], spans) for o, (_, _, _, spans) in zip(offsets, parts)]
+            ends = np.cumsum([0, *map(len, offsets)]).astype(np.int32)
+            flat = np.concatenate(offsets)
+            lists = lambda values: pa.ListArray.from_arrays(pa.array(ends), values)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([p[0] for p in parts], batch_type), pa.array([p[1] for p in parts], pa.int32()),
-                    pa.array([p[2] for p in parts], pa.string()), pa.array([e.ids for e in encoded], pa.list_(pa.int32())),
-                    pa.array([o[:, 0] for o in offsets], pa.list_(pa.int32())), pa.array([o[:, 1] for o in offsets], pa.list_(pa.int32())),
-                    pa.array([m.tolist() for m in masks], pa.list_(pa.bool_())),
+                    pa.array([p[0] for p in parts], batch_type), pa.array([p[1] for p in parts], pa.int32()), pa.array([p[2] for p in parts], pa.string()),
+                    lists(pa.array(np.concatenate([np.array(e.ids, dtype=np.int32) for e in encoded]))),
+                    lists(pa.array(np.ascontiguousarray(flat[:, 0]))), lists(pa.array(np.ascontiguousarray(flat[:, 1]))), lists(pa.array(np.concatenate(masks))),
                 ],
                 names=["conv_id", "part", "formatted", "ids", "starts", "ends", "loss"],
             )
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    batch_type = to_arrow_type(turns.schema["conv_id"].dataType)
-    return rows.mapInArrow(run, f"conv_id {id_type}, {_SCHEMA}")
+    return run
 
 
 def _parts(batches: Iterable[pa.RecordBatch], part_chars: int) -> Iterator[tuple[object, int, str, list[tuple[int, int]]]]:
@@ -158,9 +179,23 @@ def read_loss(formatted: str, starts: np.ndarray, ends: np.ndarray, loss: np.nda
     return [unescape(formatted[x:y]) for x, y in zip(a[first], np.maximum.reduceat(b, first))]
 
 
+_DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
 def digest_conversations(formatted: DataFrame) -> DataFrame:
-    """What formatted conversations hold, read back from text, offsets and mask: one row each."""
-    id_field = formatted.schema["conv_id"]
+    """What formatted conversations hold, read back from text, offsets and mask: one row each, in the order of the parts.
+
+    Empty in, empty out; other columns are ignored.
+    """
+    columns = formatted.select("conv_id", "part", "formatted", "starts", "ends", "loss")
+    return columns.mapInArrow(_digester(formatted), f"conv_id {formatted.schema['conv_id'].dataType.simpleString()}, {_DIGEST}")
+
+
+def _digester(rows: DataFrame):
+    """Batches of formatted parts -> a digest of each conversation."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_arrow = to_arrow_type(rows.schema["conv_id"].dataType)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, names = None, ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -191,17 +226,18 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield result([state])
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    return run
 
-    id_arrow = to_arrow_type(id_field.dataType)
-    return formatted.mapInArrow(
-        run,
-        f"conv_id {id_field.dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
-    )
+
+def format_and_digest(turns: DataFrame, tokenizer: str = TOKENIZER, part_chars: int = PART_CHARS) -> DataFrame:
+    """``digest_conversations`` of ``format_conversations`` in one pass: the formatted batches stay in their worker."""
+    encode, digest = _encoder(turns, tokenizer, part_chars), _digester(turns)
+    return _in_order(turns).mapInArrow(lambda batches: digest(encode(batches)), f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, {_DIGEST}")
 
 
 def op8_chat(spark, sf_dir: str) -> DataFrame:
+    """All of ``conversations`` and conversation -1, formatted and read back; odd rows as in ``format_conversations``."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
-    return digest_conversations(format_conversations(turns.unionByName(extra)))
+    return format_and_digest(turns.unionByName(extra))

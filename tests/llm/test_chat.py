@@ -60,3 +60,12 @@ def test_mask_is_the_overlap():
     starts, ends = np.array([0, 2, 2, 5, 7]), np.array([2, 4, 5, 5, 9])
     assert chat.mask_tokens(starts, ends, [(1, 2), (4, 8)]).tolist() == [True, False, True, False, True]
     assert not chat.mask_tokens(starts, ends, []).any()
+
+
+def test_one_pass_is_the_same_as_two(spark):
+    rows = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
+    for part_chars in (chat.PART_CHARS, 30):
+        one = chat.format_and_digest(rows, part_chars=part_chars)
+        two = chat.digest_conversations(chat.format_conversations(rows, part_chars=part_chars))
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.columns == two.columns
+    assert chat.format_and_digest(rows.limit(0)).count() == 0
