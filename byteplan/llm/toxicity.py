@@ -35,7 +35,10 @@ LEAST_PER_LANGUAGE = 15
 #: Words that are scored at once, and words whose table rows a worker remembers.
 BATCH_WORDS, MOST_WORDS = 1 << 17, 200_000
 
-_WORD = re.compile(r"\w+")
+#: Letters of scripts without spaces between words (kana, Chinese characters, Thai, Lao, Burmese, Khmer): a word each,
+#: so that filters of several widths see their neighbours too.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(f"[{_UNSPACED}]|[^\\W{_UNSPACED}]+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -173,7 +176,9 @@ def toxicity_model(documents: DataFrame, labels: DataFrame, per_class: int = PER
     """Learn from labelled documents outside the held-out fold (crc32 of the id mod 3 is 1).
 
     At most ``per_class`` labels of each class are drawn from the labels alone; that bounded list goes to the
-    documents, so no text is shuffled. Texts over ``MAX_CHARS`` are not fetched, nor are labels that are null.
+    documents, so no text is shuffled. Texts over ``MAX_CHARS`` are not fetched, nor are labels that are null or not 0 or
+    1. Null texts are empty, repeated rows count once, ids with labels of both classes in both. Where either table is
+    empty, or one class, nothing is learned.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & ~in_fold(F.col("doc_id"), 3, 1))
     drawn = sample_per_label(known.distinct(), "toxic", per_class, "doc_id", seed)
@@ -185,7 +190,7 @@ def toxicity_model(documents: DataFrame, labels: DataFrame, per_class: int = PER
 
 
 def toxicity_score(model: ToxicityModel, text: Column) -> Column:
-    """The score as a column expression (Arrow batches)."""
+    """The score as a column expression (Arrow batches); null and empty texts get the score of no words."""
 
     @arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
@@ -196,7 +201,11 @@ def toxicity_score(model: ToxicityModel, text: Column) -> Column:
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with score and predicted, from the whole text alone."""
+    """The columns ``keep`` of ``docs`` with score and predicted, from the whole text alone.
+
+    One row per row, equal texts alike; null and empty texts get the score of no words, a score at the cut is predicted
+    1. Columns not in ``keep`` are dropped, so their names cannot clash; an empty table gives an empty result.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -209,6 +218,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Score of every document of ``documents``, learned outside the held-out fold; odd rows as in ``score_toxicity``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, model).select("doc_id", in_fold(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")

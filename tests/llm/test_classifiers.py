@@ -160,3 +160,63 @@ def test_a_stem_at_the_end_of_a_long_compound_counts():
     model = toxicity.fit_toxicity(rows)
     scores = [model.score([f"das ist {word(i, s)} hier" for i in range(48, 64)]) for s in ("idiotenpack", "blumenbeet")]
     assert (scores[0] >= toxicity.CUT).all() and (scores[1] < toxicity.CUT).all()
+
+
+def test_scripts_without_spaces_are_read_to_the_end():
+    assert toxicity.words_of("Ab_1 日本語テキスト ไทย straße") == ["ab_1", *"日本語テキスト", *"ไทย", "straße"]
+    rng = random.Random(4)
+    filler = lambda: "".join(rng.choice("本日天気良明日雨降山川海空花鳥風月") for _ in range(60))
+    rows = [toxicity.Row(text=filler() + tail, lang="ja", toxic=y) for _ in range(60) for tail, y in (("馬鹿野郎", 1), ("猫可愛大", 0))]
+    model = toxicity.fit_toxicity(rows)
+    texts = [filler() for _ in range(20)]
+    bad, good = model.score([t + "馬鹿野郎" for t in texts]), model.score([t + "猫可愛大" for t in texts])
+    assert (bad >= toxicity.CUT).all() and (good < toxicity.CUT).all()
+
+
+def test_the_tail_of_a_long_word_changes_the_score():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(36))
+    heads = [word() for _ in range(10)]
+    model = toxicity.fit_toxicity([toxicity.Row(text=h + tail, lang="en", toxic=y) for h in heads * 8 for tail, y in (("zuxq", 1), ("mill", 0))])
+    for long in (word() for _ in range(5)):
+        bad, good = model.score([long + "zuxq", long + "mill"])
+        assert len(long + "zuxq") == 40 and bad > good + 0.01
+
+
+def test_scores_against_a_plain_network():
+    """Whole texts scored word by word with the network's own weights, and the threshold of the guessed language."""
+    model = toxicity.fit_toxicity([toxicity.Row(text=t, lang=lang, toxic=y) for _, t, _, lang, y in corpus(150)])
+    net = model.net
+    for text in [t for _, t, _, _, _ in corpus(12)] + ["", None, "日本語 zorg"]:
+        features = [toxicity.word_features(w) for w in toxicity.words_of(text)]
+        emb = np.array([net.weights["emb"][f].sum(axis=0) for f in features]).reshape(-1, net.dim)
+        padded = np.vstack([emb, np.zeros((max(net.widths) - 1, net.dim))])
+        h = [np.maximum(np.max([padded[i : i + w].ravel() @ net.weights[f"conv{w}"] + net.weights[f"bias{w}"] for i in range(len(emb))], axis=0), 0) if len(emb) else np.zeros(net.filters) for w in net.widths]
+        z = np.concatenate(h) @ net.weights["out"] + net.weights["out_bias"]
+        raw = float((np.exp(z) / np.exp(z).sum())[1])
+        votes = np.sum([model.by_word[f[0]] for f in features], axis=0) if features else np.zeros(model.by_word.shape[1])
+        at = model.thresholds[int(np.argmax(votes))]
+        want = toxicity.CUT * raw / at if raw < at else toxicity.CUT + (1 - toxicity.CUT) * (raw - at) / (1 - at)
+        assert np.isclose(model.score([text])[0], want, atol=1e-4)
+
+
+def test_languages_against_a_plain_network(spark, folder):
+    """Whole texts window by window, the windows' probabilities weighted by their length."""
+    model = langid.train_language_model(spark.read.parquet(f"{folder}/documents.parquet"))
+    net = model.net
+    texts = [t for _, t, _, _, _ in corpus(10)] + ["the thing " * 400, "é", "12", None]
+    names, scores = model.predict(texts)
+    for text, name, score in zip(texts, names, scores):
+        data = (text or "").encode()
+        if not any(c.isalpha() for c in text or ""):
+            assert (name, score) == ("und", 0)
+            continue
+        total = np.zeros(len(model.languages))
+        for at in range(0, len(data), langid.WINDOW):
+            window = list(data[at : at + langid.WINDOW])
+            emb = np.vstack([net.weights["emb"][window], np.zeros((max(net.widths) - 1, net.dim))])
+            h = [np.maximum(np.max([emb[i : i + w].ravel() @ net.weights[f"conv{w}"] + net.weights[f"bias{w}"] for i in range(len(window))], axis=0), 0) for w in net.widths]
+            z = np.concatenate(h) @ net.weights["out"] + net.weights["out_bias"]
+            total += np.exp(z) / np.exp(z).sum() * len(window)
+        total /= len(data)
+        assert name == model.languages[int(total.argmax())] and np.isclose(score, total.max(), atol=1e-4)
