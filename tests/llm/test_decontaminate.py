@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -79,3 +80,43 @@ def test_against_all_pairs(spark):
             if any(tuple(w[k : k + 5]) in seeds for k in range(len(w) - 4)) and sum(n for *_, n in d.greedy_tiles(t, w, 5)) >= 0.6 * len(t):
                 want.add((i, item["item_id"]))
     assert got == want and want
+
+
+def test_places_of_tiles():
+    """Longest first; of equally long ones the earliest in the item, then in the text."""
+    rng = random.Random(12)
+    for _ in range(200):
+        item, text = ([rng.choice("ab") for _ in range(rng.randint(1, n))] for n in (15, 30))
+        assert d.greedy_tiles(item, text, 2) == brute_tiles(item, text, 2)
+
+
+def test_repeated_words_are_cheap():
+    """A run of one word against a run of it, and two random texts of two words: linear passes, not all pairs."""
+    rng = random.Random(2)
+    block = d.ItemBlock([1, 2], [["x"] * 500, [rng.choice("ab") for _ in range(500)]])
+    text = "x " * 20_000
+    start = time.process_time()
+    assert block.coverage(text) == {0: (500, 1)}
+    assert time.process_time() - start < 1
+    assert 400 < block.coverage(" ".join(rng.choice("ab") for _ in range(20_000)))[1][0] <= 500
+
+
+def test_hash_collisions_mark_nothing(monkeypatch):
+    """All runs of one length have one hash: tokens decide."""
+    plain = d._Runs.of
+    monkeypatch.setattr(d._Runs, "of", lambda self, n: (plain(self, n)[0], plain(self, n)[1] * d.np.uint64(0)))
+    rng = random.Random(5)
+    for _ in range(100):
+        item, text = ([rng.choice("abc") for _ in range(rng.randint(1, n))] for n in (12, 25))
+        assert d.greedy_tiles(item, text, 2) == brute_tiles(item, text, 2)
+
+
+def test_a_share_leaves_out_only_what_is_below():
+    rng = random.Random(7)
+    items = [[rng.choice(WORDS) for _ in range(rng.randint(5, 40))] for _ in range(20)]
+    block = d.ItemBlock(list(range(20)), items)
+    for _ in range(30):
+        text = " ".join(w for _ in range(6) for w in rng.choice(items)[rng.randint(0, 10) :][: rng.randint(1, 20)])
+        every, some = block.coverage(text), block.coverage(text, 0.6)
+        reached = lambda found: {k: v for k, v in found.items() if v[0] >= 0.6 * len(items[k])}
+        assert reached(every) == reached(some)
