@@ -42,8 +42,8 @@ PLACES = WINDOW - ANCHOR + 1
 CROWDED = 4096
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 18
-#: Bytes of text in a range of documents, of which a task holds one.
-RANGE_BYTES = 1 << 28
+#: Bytes of text in a range of documents, of which a task holds one, at most; smaller ones are made for all cores, not below the least.
+RANGE_BYTES, LEAST_BYTES = 1 << 28, 1 << 22
 #: Pairs of one anchor that an anchors' partition should hold; a range with its share of them calls the anchor crowded.
 ANCHOR_PAIRS, LEAST_CROWDED = 1 << 22, 16
 #: What is known of a run: its context came before in the range; sort its windows; sort them one by one.
@@ -347,10 +347,11 @@ def remove_repeats(docs: DataFrame, ranges: int | None = None, crowded: int = CR
 
     spark = docs.sparkSession
     small_batches(spark)
-    parts = shuffle_partitions(spark)
-    if not ranges:
-        total = docs.agg(F.sum(F.octet_length(text_or_empty()).cast("bigint"))).first()[0] or 0
-        ranges = max(4 * parts, -(-total // range_bytes))
+    # Every range may have a blob for every partition, so neither should be many where there is little text.
+    total = docs.agg(F.sum(F.octet_length(text_or_empty()).cast("bigint"))).first()[0] or 0
+    pieces = 1 + total // LEAST_BYTES
+    ranges = ranges or max(min(4 * shuffle_partitions(spark), pieces), -(-total // range_bytes))
+    parts = min(shuffle_partitions(spark), pieces)
     local = min(crowded, max(LEAST_CROWDED, ANCHOR_PAIRS // ranges))
     id_type = docs.schema["doc_id"].dataType
     rows = docs.select(
