@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +37,29 @@ def kernel(function: Callable, returns: str):
     return arrow_udf(wrapped, returnType=kind)
 
 
+def batch_kernel(function: Callable, returns: str):
+    """An Arrow UDF of a function of a list of values that gives a result for each; nulls give null."""
+    kind: DataType = _parse_datatype_string(returns)
+    arrow = to_arrow_type(kind)
+
+    def run(a: pa.Array) -> pa.Array:
+        values = a.to_pylist()
+        found = iter(function([x for x in values if x is not None]))
+        return pa.array((None if x is None else next(found) for x in values), arrow)
+
+    return arrow_udf(run, returnType=kind)
+
+
 _TOKENS = "array<struct<ord:int,kind:string,start:bigint,len:bigint,offset:bigint,data:binary>>"
 _METRICS = "struct<literal_fraction:double,avg_match_len:double,line_similarity:double,byte_entropy:double,utf8_valid_ratio:double>"
 
 
-def lz_tokens(data: bytes) -> list[dict]:
-    return [
-        {"ord": k, "kind": t.kind, "start": t.start, "len": t.length, "offset": t.offset, "data": None if t.offset else data[t.start : t.start + t.length]}
-        for k, t in enumerate(lz.parse(data))
-    ]
+def lz_tokens(blobs: list[bytes]) -> Iterator[list[dict]]:
+    for data, tokens in zip(blobs, lz.parse_many(blobs)):
+        yield [
+            {"ord": k, "kind": t.kind, "start": t.start, "len": t.length, "offset": t.offset, "data": None if t.offset else data[t.start : t.start + t.length]}
+            for k, t in enumerate(tokens)
+        ]
 
 
 def program_tokens(program: bytes) -> list[dict]:
@@ -137,14 +151,10 @@ KERNELS: dict[str, tuple[Callable, str]] = {
     "byte_histogram": (lambda data: _histogram(data), "array<bigint>"),
     "utf8_valid_ratio": (lambda data: profile.utf8_valid_ratio(data), "double"),
     "line_similarity_bytes": (lambda data: profile.line_similarity(data), "double"),
-    "class_metrics": (lambda data: profile.metrics(data), _METRICS),
     "classify_metrics": (lambda m, data: profile.classify(m, data), "string"),
     "delta_entropy_gain": (lambda data: _delta(data), "bigint"),
     "leb_decode": (lambda data: leb.decode(data)[0], "bigint"),
     "apply_transform": (lambda data, t: transforms.apply(t, data), "binary"),
-    "lz_tokens": (lambda data: lz_tokens(data), _TOKENS),
-    "lz_encode": (lambda data: lz.encode(data, lz.parse(data)), "binary"),
-    "compress_naive": (lambda data: lz.compress_naive(data), "binary"),
     "compress_smart": (lambda data: lz.compress_smart(data), "binary"),
     "run_program": (lambda program: vm.run(program), "binary"),
     "try_run_program": (lambda program: try_run(program), "struct<ok:boolean,code:int,output:binary>"),
@@ -172,11 +182,20 @@ KERNELS: dict[str, tuple[Callable, str]] = {
 }
 
 
+#: The same of functions that take many blobs at once.
+BATCH_KERNELS: dict[str, tuple[Callable, str]] = {
+    "class_metrics": (lambda blobs: (profile.metrics(d, t) for d, t in zip(blobs, lz.parse_many(blobs))), _METRICS),
+    "lz_tokens": (lambda blobs: lz_tokens(blobs), _TOKENS),
+    "lz_encode": (lambda blobs: (lz.encode(d, t) for d, t in zip(blobs, lz.parse_many(blobs))), "binary"),
+    "compress_naive": (lambda blobs: lz.compress_naive_many(blobs), "binary"),
+}
+
+
 class _Lazy(dict):
     """Kernels made when they are first used; making one needs a running session."""
 
     def __missing__(self, name: str) -> Callable:
-        made = self[name] = kernel(*KERNELS[name])
+        made = self[name] = batch_kernel(*BATCH_KERNELS[name]) if name in BATCH_KERNELS else kernel(*KERNELS[name])
         return made
 
 
@@ -187,5 +206,5 @@ def functions() -> dict[str, Callable]:
 def register(spark: SparkSession) -> None:
     """Make every kernel callable from SQL under its name."""
     made = functions()
-    for name in KERNELS:
+    for name in (*KERNELS, *BATCH_KERNELS):
         spark.udf.register(name, made[name])

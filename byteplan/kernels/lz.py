@@ -1,15 +1,17 @@
 """Two greedy LZ77 parses and what they tell about the data.
 
-Positions that share their first four bytes are linked before parsing, in NumPy; the parse itself only
-follows links. ``parse`` prefers the nearest of equally long matches among at most 64 candidates in
-32 KiB; ``parse_far`` takes the farthest of the longest among all in its window.
+The best match of every position is found before parsing, in NumPy: positions are sorted by what their candidates
+share, and all positions, of many blobs together, try their next candidate at once, until none has any left that
+could be better. The parse itself only steps from match to match. ``parse`` prefers the nearest of equally long matches among at most 64
+candidates in 32 KiB; ``parse_far`` takes the farthest of the longest among all in its window.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_left
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 
@@ -22,8 +24,7 @@ WINDOW, MIN_MATCH, MAX_MATCH, MAX_TRIES = 1 << 15, 4, 258, 64
 MULTIPLIER = 0x9E3779B9
 
 
-@dataclass(frozen=True)
-class Token:
+class Token(NamedTuple):
     """``offset`` 0 is a literal of ``length`` bytes at ``start``; else a copy from that far back."""
 
     start: int
@@ -35,62 +36,110 @@ class Token:
         return "CPY" if self.offset else "LIT"
 
 
-def _common(data: bytes, a: int, b: int, most: int) -> int:
-    """Length of the common prefix of data[a:] and data[b:], at most ``most``."""
-    if data[a : a + most] == data[b : b + most]:
-        return most
-    low, high = 0, most  # the answer is in [low, high)
-    while high - low > 1:
-        mid = (low + high) // 2
-        if data[a + low : a + mid] == data[b + low : b + mid]:
-            low = mid
-        else:
-            high = mid
-    return low
+def _words(data: bytes) -> np.ndarray:
+    """The eight bytes from each position as a number, least byte first; zeros follow the data, enough for any match."""
+    padded = np.frombuffer(data + bytes(MAX_MATCH + 16), np.uint8)
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()
+
+
+def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of pairs of positions, at most ``most`` each."""
+    out = np.zeros(len(a), np.int64)
+    left = np.arange(len(a))
+    while len(left):
+        x = words[a[left] + out[left]] ^ words[b[left] + out[left]]
+        out[left] += np.where(x == 0, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3)
+        left = left[(x == 0) & (out[left] < most[left])]
+    return np.minimum(out, most)
+
 
+#: Bytes of blobs that are searched together.
+TOGETHER = 1 << 19
 
-def _previous(keys: np.ndarray) -> list[int]:
-    """For each position the nearest earlier one with the same key, or -1."""
+
+def _matches(data: bytes, starts: np.ndarray, keys: np.ndarray, window: int, shortest: int, tries: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Length and source of the best match of each position of blobs laid end to end (``starts``, and the end).
+
+    Lengths under ``shortest`` are no matches (source -1). With ``tries``, from the nearest candidate back, at most so
+    many; without, from the farthest. The first of equally long ones stays.
+    """
+    n, words = len(keys), _words(data)
+    begin = np.repeat(starts[:-1], np.diff(starts))[:n]
+    most = np.minimum(np.repeat(starts[1:], np.diff(starts))[:n] - np.arange(n), MAX_MATCH)
     order = np.argsort(keys, kind="stable")
-    out = np.full(len(keys), -1, np.int64)
-    same = keys[order][1:] == keys[order][:-1]
-    out[order[1:][same]] = order[:-1][same]
-    return out.tolist()
+    group = np.cumsum(np.concatenate(([0], keys[order][1:] != keys[order][:-1]))) << 40
+    rank, first = np.empty(n, np.int64), np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    first[order] = np.searchsorted(group + order, group + np.maximum(order - window, begin[order]))
+    best, source = np.full(n, shortest - 1, np.int64), np.full(n, -1, np.int64)
+    raw = words.astype(np.uint8)  # the byte at each position
+    at = np.flatnonzero((rank > first) & (most >= shortest))
+    end, place = (rank - first)[at], rank[at] - 1 if tries else first[at]
+    if tries:
+        end = np.minimum(end, tries)
+    longest, step = best[at], 0
+    while len(at):
+        candidate = order[place - step if tries else place + step]
+        hopeful = np.flatnonzero(raw[candidate + longest] == raw[at + longest])
+        a, c = at[hopeful], candidate[hopeful]
+        length = _common(words, c, a, most[a])
+        better = length > longest[hopeful]
+        a, length, hopeful = a[better], length[better], hopeful[better]
+        best[a], source[a], longest[hopeful] = length, c[better], length
+        step += 1
+        end[hopeful[length == most[a]]] = 0  # nothing can be longer
+        left = end > step
+        if not left.all():
+            at, place, end, longest = at[left], place[left], end[left], longest[left]
+    return best, source
+
+
+def _together(blobs: Sequence[bytes]) -> Iterator[tuple[list[bytes], bytes, np.ndarray]]:
+    """Neighbouring blobs of up to ``TOGETHER`` bytes (or one), laid end to end, with their starts and the end."""
+    group, size = [], 0
+    for k, blob in enumerate(blobs):
+        group.append(blob)
+        size += len(blob)
+        if size >= TOGETHER or k == len(blobs) - 1:
+            yield group, b"".join(group), np.cumsum([0, *map(len, group)])
+            group, size = [], 0
+
+
+def _parsed(group: list[bytes], starts: np.ndarray, best: np.ndarray, source: np.ndarray) -> Iterator[list[Token]]:
+    for blob, a in zip(group, starts.tolist()):
+        b = a + len(blob)
+        yield _greedy(len(blob), best[a:b], np.where(source[a:b] >= 0, source[a:b] - a, -1))
+
+
+def _greedy(n: int, best: np.ndarray, source: np.ndarray) -> list[Token]:
+    """Take each match that begins where the one before has ended or later; the rest is literal."""
+    places = np.flatnonzero(source >= 0)
+    lengths, offsets, places = best[places].tolist(), (places - source[places]).tolist(), places.tolist()
+    out: list[Token] = []
+    covered = k = 0
+    while k < len(places):
+        at = places[k]
+        if covered < at:
+            out.append(Token(covered, at - covered))
+        out.append(Token(at, lengths[k], offsets[k]))
+        covered = at + lengths[k]
+        k = bisect_left(places, covered, k + 1)
+    if covered < n:
+        out.append(Token(covered, n - covered))
+    return out
 
 
 def parse(data: bytes) -> list[Token]:
     """Greedy parse with hash chains: nearest of the longest matches; covers ``data`` exactly."""
-    n = len(data)
-    if n < MIN_MATCH:
-        return [Token(0, n)] if n else []
-    raw = np.frombuffer(data, np.uint8).astype(np.uint32)
-    words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
-    before = _previous((words * np.uint32(MULTIPLIER)) >> np.uint32(16))
-    out: list[Token] = []
-    at, literal, last = 0, 0, n - MIN_MATCH
-    while at <= last:
-        most = min(n - at, MAX_MATCH)
-        best, source, candidate, tries = MIN_MATCH - 1, -1, before[at], 0
-        floor = at - WINDOW
-        while candidate >= 0 and candidate >= floor and tries < MAX_TRIES:
-            if best < most and data[candidate + best] == data[at + best]:
-                length = _common(data, candidate, at, most)
-                if length > best:
-                    best, source = length, candidate
-                    if best == most:
-                        break
-            candidate, tries = before[candidate], tries + 1
-        if source < 0:
-            at += 1
-            continue
-        if literal < at:
-            out.append(Token(literal, at - literal))
-        out.append(Token(at, best, at - source))
-        at += best
-        literal = at
-    if literal < n:
-        out.append(Token(literal, n - literal))
-    return out
+    return next(parse_many([data]))
+
+
+def parse_many(blobs: Sequence[bytes]) -> Iterator[list[Token]]:
+    """``parse`` of each blob; short ones take far less time together."""
+    for group, data, starts in _together(blobs):
+        raw = np.frombuffer(data + bytes(3), np.uint8).astype(np.uint32)
+        words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+        yield from _parsed(group, starts, *_matches(data, starts, (words * np.uint32(MULTIPLIER)) >> np.uint32(16), WINDOW, MIN_MATCH, MAX_TRIES))
 
 
 def parse_far(data: bytes, min_match: int = 4, window: int = 4096) -> list[Token]:
@@ -98,35 +147,20 @@ def parse_far(data: bytes, min_match: int = 4, window: int = 4096) -> list[Token
 
     Any match worth taking shares its first ``min_match`` bytes, so only such positions are compared.
     """
-    places: dict[bytes, list[int]] = {}
-    out: list[Token] = []
-    at, literal, n, indexed = 0, 0, len(data), 0
-    while at < n:
-        while indexed < at:
-            places.setdefault(data[indexed : indexed + min_match], []).append(indexed)
-            indexed += 1
-        best, source, most = 0, -1, min(n - at, MAX_MATCH)
-        if most >= min_match:
-            found = places.get(data[at : at + min_match], ())
-            for candidate in found[bisect_left(found, at - window) :]:
-                if data[candidate + best] != data[at + best]:
-                    continue
-                length = _common(data, candidate, at, most)
-                if length > best:
-                    best, source = length, candidate
-                    if best == most:
-                        break
-        if source < 0:
-            at += 1
-            continue
-        if literal < at:
-            out.append(Token(literal, at - literal))
-        out.append(Token(at, best, at - source))
-        at += best
-        literal = at
-    if literal < n:
-        out.append(Token(literal, n - literal))
-    return out
+    return next(parse_far_many([data], min_match, window))
+
+
+def parse_far_many(blobs: Sequence[bytes], min_match: int = 4, window: int = 4096) -> Iterator[list[Token]]:
+    """``parse_far`` of each blob; short ones take far less time together."""
+    shared = max(1, min_match)
+    for group, data, starts in _together(blobs):
+        if shared <= 8:
+            keys = _words(data)[: len(data)] & np.uint64((1 << 8 * shared) - 1)
+        else:
+            padded = np.frombuffer(data + bytes(shared - 1), np.uint8)
+            windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, shared)) if data else np.zeros((0, shared), np.uint8)
+            keys = np.unique(windows.view(f"V{shared}").ravel(), return_inverse=True)[1]
+        yield from _parsed(group, starts, *_matches(data, starts, keys, window, shared, None))
 
 
 def encode(data: bytes, tokens: list[Token]) -> bytes:
@@ -152,11 +186,17 @@ def literal(data: bytes) -> bytes:
 
 def compress_naive(data: bytes, min_match: int = 4, window: int = 4096, halt: bool = True) -> bytes:
     """Program of the far parse with deflated literals."""
-    parts = [
-        bytes([CPY]) + leb.encode(t.offset) + leb.encode(t.length) if t.offset else literal(data[t.start : t.start + t.length])
-        for t in parse_far(data, min_match, window)
-    ]
-    return b"".join(parts) + bytes([HALT]) * halt
+    return _naive_program(data, parse_far(data, min_match, window)) + bytes([HALT]) * halt
+
+
+def compress_naive_many(blobs: Sequence[bytes]) -> Iterator[bytes]:
+    return (_naive_program(d, t) + bytes([HALT]) for d, t in zip(blobs, parse_far_many(blobs)))
+
+
+def _naive_program(data: bytes, tokens: list[Token]) -> bytes:
+    return b"".join(
+        bytes([CPY]) + leb.encode(t.offset) + leb.encode(t.length) if t.offset else literal(data[t.start : t.start + t.length]) for t in tokens
+    )
 
 
 def counting_run(data: bytes, at: int) -> int:

@@ -66,8 +66,11 @@ def utf8_valid_ratio(data: bytes) -> float:
     """
     if not data:
         return 1.0
-    if data.isascii():
+    try:  # what a strict decoder takes is valid here too
+        data.decode()
         return 1.0
+    except UnicodeDecodeError:
+        pass
     valid = total = at = 0
     n = len(data)
     while at < n:

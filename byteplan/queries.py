@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import builtin as B
 from .functions.udfs import functions
+from .goldens import GOLDENS
 from .kernels import dictionary, vm
 from .operators import mining, profiling
 from .plans import pack
@@ -585,3 +586,7 @@ def log_corpus(spark, sf_dir):
 @_query("SELECT page_id::VARCHAR AS path, octet_length(encode(html)) AS length, true AS round_trip FROM pages")
 def pack_bench(spark, sf_dir):
     return pack.bench(_pages(spark, sf_dir)).select("path", "length", "round_trip")
+
+
+for _made, _expected in GOLDENS.items():
+    _query(_expected)(_made)

@@ -292,3 +292,68 @@ def test_bad_blobs(data, name):
 def test_unsafe_paths(path):
     with pytest.raises(FormatError):
         containers.safe_path(path)
+
+
+def near_by_trying(data):
+    """The near parse by walking back from each position: the nearest of the longest among 64 with the same hash."""
+    key = lambda i: (int.from_bytes(data[i : i + 4], "little") * lz.MULTIPLIER % 2**32) >> 16
+    out, at, literal = [], 0, 0
+    while at + 4 <= len(data):
+        tried, best, source = 0, 3, -1
+        for c in range(at - 1, max(0, at - lz.WINDOW) - 1, -1):
+            if tried == lz.MAX_TRIES:
+                break
+            if key(c) == key(at):
+                tried += 1
+                n = 0
+                while at + n < len(data) and n < 258 and data[c + n] == data[at + n]:
+                    n += 1
+                if n > best:
+                    best, source = n, c
+        if source < 0:
+            at += 1
+            continue
+        out += [lz.Token(literal, at - literal)] * (literal < at) + [lz.Token(at, best, at - source)]
+        at += best
+        literal = at
+    return out + [lz.Token(literal, len(data) - literal)] * (literal < len(data))
+
+
+def far_by_trying(data, shortest, window):
+    out, at, literal = [], 0, 0
+    while at < len(data):
+        best, source = shortest - 1, -1
+        for c in range(max(0, at - window), at):
+            n = 0
+            while at + n < len(data) and n < 258 and data[c + n] == data[at + n]:
+                n += 1
+            if n > best:
+                best, source = n, c
+        if source < 0:
+            at += 1
+            continue
+        out += [lz.Token(literal, at - literal)] * (literal < at) + [lz.Token(at, best, at - source)]
+        at += best
+        literal = at
+    return out + [lz.Token(literal, len(data) - literal)] * (literal < len(data))
+
+
+def test_parses_against_every_candidate():
+    rng = random.Random(21)
+    base = bytes(rng.choice(b"abcdef") for _ in range(120))
+    blobs = [b"", b"a", b"abc", b"a" * 700, b"abcab" * 30, bytes(range(256)) * 2] + [
+        b"".join(base[a : a + rng.randint(1, 40)] + bytes([rng.randrange(97, 103)]) for a in (rng.randrange(110) for _ in range(rng.randint(1, 25)))) for _ in range(25)
+    ]
+    near, far = [near_by_trying(b) for b in blobs], [far_by_trying(b, 4, 90) for b in blobs]
+    assert [lz.parse(b) for b in blobs] == near and [lz.parse_far(b, 4, 90) for b in blobs] == far
+    assert [lz.parse_far(b, 3, 4096) for b in blobs] == [far_by_trying(b, 3, 4096) for b in blobs]
+    assert [lz.parse_far(b, 10, 4096) for b in blobs] == [far_by_trying(b, 10, 4096) for b in blobs]
+    for together in (1, 500, 1 << 19):  # blobs searched together do not see each other
+        before, lz.TOGETHER = lz.TOGETHER, together
+        assert list(lz.parse_many(blobs)) == near and list(lz.parse_far_many(blobs, 4, 90)) == far
+        lz.TOGETHER = before
+
+
+def test_outermost_patterns():
+    found = dictionary.Outermost(2)
+    assert [found.offer(p) for p in (b"abcdef", b"bcd", b"xyz", b"more")] == [True, True, False, False] and found.kept == [b"abcdef", b"xyz"]
