@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .functions import builtin as B
 from .functions.udfs import functions
 from .goldens import GOLDENS
-from .kernels import dictionary, vm
-from .operators import mining, profiling
+from .kernels import containers, dictionary, vm
+from .operators import benefit, mining, profiling, snapshots
 from .plans import pack
 from .schema import as_blobs, render_rows
 
@@ -440,6 +440,88 @@ def snapshot_hash(spark, sf_dir):
     return mining.snapshot_hash(mining.strided_dictionary(_pages(spark, sf_dir))).select("n", "hash")
 
 
+@_query(f"""WITH {_TOP_SQL} SELECT count(*) AS n, round(avg(length(p) // 2), 6) AS avg_len, round({_PATTERN_ENTROPY_SQL.format(p="string_agg(p, '')")}, 6) AS h_pattern FROM top HAVING count(*) > 0""")
+def snapshot_statistics(spark, sf_dir):
+    out = snapshots.snapshot_statistics(mining.strided_dictionary(_pages(spark, sf_dir)))
+    return out.select("n", F.round("avg_len", 6).alias("avg_len"), F.round("h_pattern", 6).alias("h_pattern"))
+
+
+@_query(f"WITH {_TOP_SQL} SELECT rank AS id, p AS pattern, sha256(unhex(p)) AS entry_hash FROM top")
+def snapshot_patterns(spark, sf_dir):
+    files = snapshots.publish(mining.strided_dictionary(_pages(spark, sf_dir)))
+    return snapshots.snapshot_patterns(snapshots.snapshot_table(files)).select("id", F.hex("pattern").alias("pattern"), "entry_hash")
+
+
+_DELTA = [(0, b"put in the place of the first"), (900, b"added")]
+
+
+@_query(f"""WITH {_TOP_SQL}, d(rank, p) AS (VALUES {", ".join(f"({k}, '{p.hex().upper()}')" for k, p in _DELTA)}),
+m AS (SELECT rank, p FROM d UNION ALL SELECT rank, p FROM top WHERE rank NOT IN (SELECT rank FROM d)),
+b AS (SELECT rank, printf('%08X', rank) AS r, printf('%08X', length(p) // 2) AS l, p FROM m)
+SELECT count(*)::INT AS n, sha256(unhex(string_agg(r[7:8] || r[5:6] || r[3:4] || r[1:2] || l[7:8] || l[5:6] || l[3:4] || l[1:2] || p, '' ORDER BY rank))) AS hash FROM b""")
+def snapshot_delta(spark, sf_dir):
+    delta = spark.createDataFrame([("all", k, p) for k, p in _DELTA], "corpus string, rank int, pattern binary")
+    return mining.snapshot_hash(snapshots.with_delta(mining.strided_dictionary(_pages(spark, sf_dir)), delta)).select("n", "hash")
+
+
+_TAGS = [b"<div", b"</div>", b"class=", b"<p>", b"</p>", b"href="]
+
+
+@_query(f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'EMBEDDED' WHEN 2 THEN 'HYBRID' ELSE 'EXTERNAL' END AS source, page_id % 4 <> 3 AS ok,
+  CASE WHEN page_id % 4 = 3 THEN 9 ELSE 0 END AS code, CASE WHEN page_id % 4 <> 3 THEN md5(html) END AS digest,
+  len(regexp_extract_all(html, '{"|".join(t.decode() for t in _TAGS)}')) AS n_references FROM pages WHERE html IS NOT NULL""")
+def program_by_snapshot(spark, sf_dir):
+    """Programs with their dictionary inline, in a snapshot, in both, and in a snapshot that nobody published."""
+    from .functions.udfs import kernel
+    from .kernels import leb
+
+    published = containers.Snapshot(dict(enumerate(_TAGS)))
+    keyed = {leb.encode(k): t for k, t in enumerate(_TAGS)}
+    named = {0: ({}, None), 1: (None, published.hash), 2: ({leb.encode(0): _TAGS[0]}, published.hash), 3: (None, containers.Snapshot({0: b"lost"}).hash)}
+
+    def made(html: bytes, kind: int) -> bytes:
+        inline, snapshot = named[kind]
+        program = dictionary.compress_with_references(html, dict(enumerate(_TAGS)))
+        return containers.ProgramFile(program, dictionary=keyed if kind == 0 else inline or {}, snapshot=snapshot, deflate=kind == 1).encode()
+
+    pages = _table(spark, sf_dir, "pages").filter("html IS NOT NULL").withColumn("kind", (F.col("page_id") % 4).cast("int"))
+    files = pages.select(F.col("page_id").cast("string").alias("path"), kernel(lambda html, kind: made(html, kind), "binary")(F.col("html").cast("binary"), "kind").alias("content"))
+    references = kernel(lambda content: sum(i.name == "REF" for i in vm.instructions(containers.ProgramFile.decode(content).program)), "bigint")
+    table = snapshots.snapshot_table(spark.createDataFrame([(published.encode(),)], "content binary"))
+    out = snapshots.run_program_files(files, table).select(F.col("path").cast("bigint").alias("page_id"), "source", "ok", "code", F.md5("output").alias("digest"))
+    return out.join(files.select(F.col("path").cast("bigint").alias("page_id"), references("content").alias("n_references")), "page_id")
+
+
+@_query()
+def single_blob_benefit(spark, sf_dir):
+    rows = _benchmark(spark, sf_dir).withColumn("patterns", _K["mine_patterns"]("content"))
+    return benefit.measured(rows).withColumnRenamed("path", "item_id")
+
+
+@_query()
+def leave_one_out_measured(spark, sf_dir):
+    blobs = as_blobs(_order_blobs(spark, sf_dir), F.col("path"), F.col("content"))
+    return benefit.measured(mining.held_out_dictionaries(blobs.repartition(spark.sparkContext.defaultParallelism, "path")))
+
+
+#: A list of its own, best first, of more words than the curve has points.
+_RANKED = [b" the ", b" and ", b"tion", b" de la ", b"ing", b"ment", b" que ", b" der ", b" und ", b"ent", b" les ", b" con "]
+_RANKED_SQL = ", ".join(f"({n}, '{'|'.join(sorted((w.decode() for w in _RANKED[:n]), key=len, reverse=True))}', '{b''.join(_RANKED[:n]).hex().upper()}')" for n in (1, 2, 3, 5, 8, 12))
+
+
+@_query(f"""SELECT n::INT AS n, coalesce(sum(list_sum(list_transform(regexp_extract_all(text, p), lambda m: length(m)))), 0)::BIGINT AS covered, sum(octet_length(encode(text)))::BIGINT AS total,
+  round(any_value(h), 6) AS h_pattern FROM documents, (SELECT n, p, {_PATTERN_ENTROPY_SQL.format(p="j")} AS h FROM (VALUES {_RANKED_SQL}) v(n, p, j)) GROUP BY n""")
+def benefit_curve(spark, sf_dir):
+    """Coverage and entropy, which SQL can give; sizes and crossings are held against brute force."""
+    out = benefit.benefit_curve(_spread(_documents(spark, sf_dir)), _RANKED)
+    return out.select("n", "covered", "total", F.round("h_pattern", 6).alias("h_pattern"))
+
+
+@_query()
+def sweep_coverage(spark, sf_dir):
+    return benefit.sweep_coverage(_benchmark(spark, sf_dir), _cross(spark, sf_dir))
+
+
 @_query()
 def applicability(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select("item_id", _K["applicability"](F.col("text").cast("binary")).alias("r")).select("item_id", "r.*")
