@@ -98,8 +98,8 @@ def redundancy(length: Column, entropy: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """1,536 -> 1.5 KB."""
+    """1,536 -> 1.5 KB; a tenth that lies halfway goes to the even one."""
     out = F.format_string("%d B", n)
     for k, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = F.when(n >= 1 << 10 * k, F.format_string(f"%.1f {unit}", n / (1 << 10 * k))).otherwise(out)
+        out = F.when(n >= 1 << 10 * k, F.format_string(f"%.1f {unit}", F.bround(n / (1 << 10 * k), 1))).otherwise(out)
     return out

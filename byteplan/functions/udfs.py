@@ -89,8 +89,8 @@ def json_keys(data: bytes) -> list[str] | None:
     return None if members is None else [json.loads(k) for k, _, _ in members]
 
 
-def synthesized(data: bytes) -> dict:
-    r = synth.compress(data)
+def synthesized(data: bytes, mode: str = "best") -> dict:
+    r = synth.compress(data, mode)
     return {
         "data_class": r.data_class, "structure_first": r.structure_first, "lz_ratio": r.lz_ratio, "ratio": r.program.ratio(),
         "program": r.program.code(), "macros": list(r.program.macros.items()), "metrics": r.metrics,
@@ -165,6 +165,7 @@ KERNELS: dict[str, tuple[Callable, str]] = {
     "json_member_keys": (lambda data: json_keys(data), "array<string>"),
     "suffix_order": (lambda data: synth.suffix_array(data).tolist(), "array<bigint>"),
     "synthesize": (lambda data: synthesized(data), f"struct<data_class:string,structure_first:boolean,lz_ratio:double,ratio:double,program:binary,macros:map<int,binary>,metrics:{_METRICS},size:bigint,literals:array<binary>>"),
+    "synthesize_lz_first": (lambda data: synthesized(data, "lz"), f"struct<data_class:string,structure_first:boolean,lz_ratio:double,ratio:double,program:binary,macros:map<int,binary>,metrics:{_METRICS},size:bigint,literals:array<binary>>"),
     "run_with_macros": (lambda program, macros: vm.run(program, dict(macros or [])), "binary"),
     "encode_blob": (lambda data: containers.encode_blob(data), "binary"),
     "decode_blob": (lambda data: containers.decode_blob(data), "binary"),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from .functions.udfs import functions, kernel
 from .kernels import containers, lz, profile, synth, vm
 from .kernels.errors import VmError
+from .operators import benefit, mining, profiling
+from .schema import BLOBS
 
 _K = functions()
 
@@ -175,6 +177,88 @@ def utf8_units(spark, sf_dir):
     return rows.select("data", ratio("b").alias("ratio"))
 
 
+_LONG = "".join(map(chr, range(48, 122))) + "......"
+#: data, gain and pattern of the best macro of 8 to 64 bytes, of 65 to 1024 bytes (gain 0: none).
+MACROS = [
+    ("abcdefghij1abcdefghij2abcdefghij", 14, "abcdefghij", 0, ""),
+    ("abcdefgh1abcdefgh2", 2, "abcdefgh", 0, ""),
+    ("no macro in this", 0, "", 0, ""),
+    ("!".join(f"{k}{_LONG}" for k in "()*+"), 186, _LONG[:64], 234, _LONG),
+]
+
+
+def macros_by_hand(spark, sf_dir):
+    """Short macros save the pattern at all uses but one, less six bytes; long ones by the costs of their instructions."""
+    rows = spark.createDataFrame([(d,) for d, *_ in MACROS], "data string").withColumn("b", F.col("data").cast("binary"))
+    show = [("short", _K["best_macro"]("b")), ("long", _K["best_long_macro"]("b"))]
+    columns = [c for name, m in show for c in (F.coalesce(m["gain"], F.lit(0)).cast("int").alias(f"{name}_gain"), F.coalesce(m["pattern"].cast("string"), F.lit("")).alias(f"{name}_pattern"))]
+    return rows.select("data", *columns)
+
+
+#: data, patterns of a dictionary mined from it, best first.
+DICTIONARIES = [
+    ("abcdefabcdef", "abcdef"),
+    ("abcdefgabcdefg", "abcdefg"),
+    ("xxxxxxxx", "xxxxxx xxxxxxx"),
+    ("abcdeabcde", ""),
+    ("abcdef-ABCDEFG-abcdef-ABCDEFG", "abcdef-ABCDEFG"),
+]
+
+
+def dictionaries_by_hand(spark, sf_dir):
+    """Scores, ties and patterns inside better ones."""
+    rows = spark.createDataFrame([(d,) for d, _ in DICTIONARIES], "data string")
+    patterns = F.transform(_K["mine_patterns"](F.col("data").cast("binary")), lambda p: p.cast("string"))
+    return rows.select("data", F.array_join(patterns, " ").alias("patterns"))
+
+
+#: data, tokens of the near parse summed: literals, matches, bytes of either, literal share, mean match.
+STATISTICS = [("", 0, 0, 0, 0, "1.0", "0.0"), ("abc", 1, 0, 3, 0, "1.0", "0.0"), ("abcdabcd", 1, 1, 4, 4, "0.5", "4.0"), ("aaaaaaaaaa", 1, 1, 1, 9, "0.1", "9.0"), ("abcd1abcd2abcd", 2, 2, 6, 8, "0.428571", "4.0")]
+
+
+def statistics_by_hand(spark, sf_dir):
+    """What a parse covers."""
+    rows = spark.createDataFrame([("all", d, d.encode(), len(d)) for d, *_ in STATISTICS], BLOBS)
+    out = profiling.lz_statistics(rows)
+    return out.select(F.col("path").alias("data"), "n_literals", "n_matches", "literal_bytes", "match_bytes", F.round("literal_fraction", 6).alias("literal_fraction"), F.round("avg_match_len", 6).alias("avg_match_len"))
+
+
+#: data, bytes, bytes copied, literal bytes, share copied, copies, their mean length, entropy of the dictionary, its coverage, verdict, patterns.
+APPLICABLE = [
+    ("abcdefabcdef", 12, 6, 6, "0.5", 1, "6.0", "2.584963", "1.0", True, 1),
+    ("abc", 3, 0, 3, "0.0", 0, "0.0", "0.0", "0.0", False, 0),
+    ("aaaaaaaaaa", 10, 9, 1, "0.9", 1, "9.0", "0.0", "0.9", False, 3),
+]
+
+
+def applicability_by_hand(spark, sf_dir):
+    """Both conditions of the prediction, and which fails."""
+    rows = spark.createDataFrame([(d,) for d, *_ in APPLICABLE], "data string").withColumn("r", _K["applicability"](F.col("data").cast("binary")))
+    names = "total, cpy_bytes, lit_bytes, lz_coverage, cpy_count, avg_cpy_len, h_pattern, ref_data_coverage, predicts, dictionary_size".split(", ")
+    return rows.select("data", "r.*").select("data", *[F.round(n, 6).alias(n) if n in ("lz_coverage", "avg_cpy_len", "h_pattern", "ref_data_coverage") else n for n in names])
+
+
+#: path, data. All hold one phrase twice or more; the dashes repeat in one only.
+SHARED = [("a", "abcdefghabcdefgh!"), ("b", "abcdefgh?abcdefgh"), ("c", "abcdefgh--------abcdefgh"), ("d", "none of it")]
+
+
+def _shared(spark):
+    return spark.createDataFrame([("all", p, d.encode(), len(d)) for p, d in SHARED], BLOBS)
+
+
+def cross_file_by_hand(spark, sf_dir):
+    """The dictionary of each threshold of files and what it covers on average."""
+    blobs = _shared(spark)
+    out = benefit.sweep_coverage(blobs, mining.cross_file_candidates(mining.file_patterns(blobs)), (1, 2, 3, 4))
+    return out.select("min_files", "n_patterns", F.round("avg_len", 6).alias("avg_len"), F.round("h_pattern", 6).alias("h_pattern"), F.round("mean_coverage", 6).alias("mean_coverage"))
+
+
+def held_out_by_hand(spark, sf_dir):
+    """Every blob against the others' dictionary; the one without the phrase is not covered."""
+    out = mining.leave_one_out(_shared(spark))
+    return out.select("path", "n_patterns", F.round("h_pattern", 6).alias("h_pattern"), F.round("coverage", 6).alias("coverage"), "predicts_benefit")
+
+
 #: query -> SQL.
 GOLDENS = {
     machine_outputs: _values([(n, out) for n, _, _, _, out in MACHINE], "name, output"),
@@ -185,5 +269,13 @@ GOLDENS = {
     transform_delta_u32: "SELECT p_partkey, printf('%08X', p_partkey) AS word0, printf('%08X', (p_partkey + p_size) % 4294967296) AS word1 FROM part",
     classes_by_hand: _values([(n, c) for n, _, c in CLASSES], "name, data_class"),
     archive_methods: _values([(n, m, s) for n, _, m, s in METHODS], "name, method, stored_size"),
+    macros_by_hand: _values(MACROS, "data, short_gain, short_pattern, long_gain, long_pattern"),
+    dictionaries_by_hand: _values(DICTIONARIES, "data, patterns"),
+    statistics_by_hand: "SELECT * REPLACE (literal_fraction::DOUBLE AS literal_fraction, avg_match_len::DOUBLE AS avg_match_len, literal_bytes::BIGINT AS literal_bytes, match_bytes::BIGINT AS match_bytes) FROM "
+    f"({_values(STATISTICS, 'data, n_literals, n_matches, literal_bytes, match_bytes, literal_fraction, avg_match_len')})",
+    applicability_by_hand: "SELECT * REPLACE (lz_coverage::DOUBLE AS lz_coverage, avg_cpy_len::DOUBLE AS avg_cpy_len, h_pattern::DOUBLE AS h_pattern, ref_data_coverage::DOUBLE AS ref_data_coverage) FROM "
+    f"({_values(APPLICABLE, 'data, total, cpy_bytes, lit_bytes, lz_coverage, cpy_count, avg_cpy_len, h_pattern, ref_data_coverage, predicts, dictionary_size')})",
+    cross_file_by_hand: "SELECT t AS min_files, 1 AS n_patterns, 8.0::DOUBLE AS avg_len, 3.0::DOUBLE AS h_pattern, round((16 / 17 + 16 / 17 + 16 / 24) / 4, 6) AS mean_coverage FROM (VALUES (1), (2), (3)) v(t)",
+    held_out_by_hand: "SELECT path, 1 AS n_patterns, 3.0::DOUBLE AS h_pattern, round(c, 6) AS coverage, c > 0 AS predicts_benefit FROM (VALUES ('a', 16 / 17), ('b', 16 / 17), ('c', 16 / 24), ('d', 0)) v(path, c)",
     utf8_units: f"SELECT data, ratio::DOUBLE AS ratio FROM ({_values(UTF8, 'data, ratio')})",
 }

@@ -89,6 +89,21 @@ def byte_entropy(spark, sf_dir):
     return docs.select("doc_id", F.round(_K["byte_entropy"](F.col("text").cast("binary")), 6).alias("entropy"))
 
 
+@_query(f"WITH {_ENTROPY_SQL} SELECT doc_id, round(octet_length(encode(text)) * (1 - abs(coalesce(h, 0)) / 8), 4) AS redundancy FROM documents LEFT JOIN h USING (doc_id)")
+def blob_redundancy(spark, sf_dir):
+    data = F.col("text").cast("binary")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.round(B.redundancy(F.octet_length(data), _K["byte_entropy"](data)), 4).alias("redundancy"))
+
+
+@_query("""SELECT n, CASE WHEN n >= 1073741824 THEN printf('%.1f GB', n / 1073741824) WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576)
+  WHEN n >= 1024 THEN printf('%.1f KB', n / 1024) ELSE n || ' B' END AS shown FROM (SELECT DISTINCT (n_chars * k)::BIGINT AS n FROM documents, (VALUES (1), (1000), (4096), (1048576)) v(k)
+  UNION SELECT unnest([0, 1023, 1024, 1280, 1408, 1536, 1048575, 1048576, 1310720, 1073741823, 1073741824]))""")
+def human_sizes(spark, sf_dir):
+    grid = _table(spark, sf_dir, "documents").select(F.explode(F.array(*[F.col("n_chars") * k for k in (1, 1000, 4096, 1048576)])).alias("n"))
+    more = spark.createDataFrame([(n,) for n in (0, 1023, 1024, 1280, 1408, 1536, 1048575, 1048576, 1310720, 1073741823, 1073741824)], "n long")
+    return grid.union(more).distinct().select("n", B.human_size(F.col("n")).alias("shown"))
+
+
 @_query("""WITH b AS (SELECT source AS corpus, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents)
 SELECT corpus, h, count(*) AS n FROM b GROUP BY ALL""")
 def byte_histogram(spark, sf_dir):
@@ -559,6 +574,12 @@ def program_synthesized(spark, sf_dir):
     return rows.select("doc_id", F.md5("d").alias("digest"), F.octet_length("d").cast("bigint").alias("length"))
 
 
+@_query("SELECT doc_id, md5(text) AS digest, false AS structure_first FROM documents")
+def program_lz_first(spark, sf_dir):
+    rows = _spread(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("b"))).withColumn("s", _K["synthesize_lz_first"]("b"))
+    return rows.select("doc_id", F.md5(_K["run_with_macros"]("s.program", "s.macros")).alias("digest"), "s.structure_first")
+
+
 @_query(_DOC_DIGEST)
 def container_blob(spark, sf_dir):
     return _back(spark, sf_dir, _K["decode_blob"](_K["encode_blob"]("b")))
