@@ -190,7 +190,12 @@ def compress_naive(data: bytes, min_match: int = 4, window: int = 4096, halt: bo
 
 
 def compress_naive_many(blobs: Sequence[bytes]) -> Iterator[bytes]:
-    return (_naive_program(d, t) + bytes([HALT]) for d, t in zip(blobs, parse_far_many(blobs)))
+    return (program + bytes([HALT]) for program in naive_programs(blobs))
+
+
+def naive_programs(blobs: Sequence[bytes], window: int = 4096) -> Iterator[bytes]:
+    """``compress_naive`` of each blob, without HALT."""
+    return (_naive_program(d, t) for d, t in zip(blobs, parse_far_many(blobs, window=window)))
 
 
 def _naive_program(data: bytes, tokens: list[Token]) -> bytes:
@@ -199,47 +204,41 @@ def _naive_program(data: bytes, tokens: list[Token]) -> bytes:
     )
 
 
-def counting_run(data: bytes, at: int) -> int:
-    """Bytes of the run of 32-bit words rising by one from the aligned position ``at`` (0 if under three)."""
-    words = np.frombuffer(data[at : at + (len(data) - at) // 4 * 4], "<u4")
-    if len(words) < 3 or at % 4:
-        return 0
-    step = 1
-    while step < len(words) and int(words[step]) == (int(words[0]) + step) % (1 << 32):
-        step += 1
-    return 4 * step if step >= 3 else 0
+def _runs(same: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places from which at least ``least`` units run on, and for how many; ``same[i]``: unit i + 1 goes on from unit i."""
+    ends = np.append(np.flatnonzero(~same), len(same))
+    lengths = ends[np.searchsorted(ends, np.arange(len(same)))] - np.arange(len(same)) + 1
+    places = np.flatnonzero(lengths >= least)
+    return places, lengths[places]
+
 
+def loop_runs(data: bytes) -> list[tuple[int, int, int]]:
+    """(start, length, unit) of runs to be made by loops, from the left, none over another.
 
-def equal_run(data: bytes, at: int) -> int:
-    """Length of the run of one byte from ``at``, up to 65,535 (0 if under four)."""
-    run = data[at : at + 65535]
-    length = len(run) - len(run.lstrip(run[:1]))
-    return length if length >= 4 else 0
+    Units of four bytes are 32-bit words that rise by one, three or more from an aligned place; units of one are equal
+    bytes, 4 to 65,535. Words come first where both begin.
+    """
+    raw, words = np.frombuffer(data, np.uint8), np.frombuffer(data[: len(data) // 4 * 4], "<u4")
+    equal, rising = _runs(raw[1:] == raw[:-1], 4), _runs(words[1:] - words[:-1] == 1, 3)
+    found = dict(zip(equal[0].tolist(), ((n, 1) for n in np.minimum(equal[1], 65535).tolist())))
+    found.update(zip((4 * rising[0]).tolist(), ((n, 4) for n in (4 * rising[1]).tolist())))
+    places, out, k = sorted(found), [], 0
+    while k < len(places):
+        out.append((places[k], *found[places[k]]))
+        k = bisect_left(places, places[k] + out[-1][1], k + 1)
+    return out
 
 
 def compress_smart(data: bytes) -> bytes:
-    """Counting runs and runs of one byte as loops, the rest by ``compress_naive``."""
-    out, at, covered = bytearray(), 0, 0
-
-    def gap(end: int) -> None:
-        if covered < end:
-            out.extend(compress_naive(data[covered:end], halt=False))
-
-    while at < len(data):
-        counting = counting_run(data, at) if at % 4 == 0 else 0
-        length = counting or equal_run(data, at)
-        if not length:
-            at += 1
-            continue
-        gap(at)
-        unit = 4 if counting else 1
-        body = bytes([CPY]) + leb.encode(unit) * 2 + (bytes([MAP, 2, 4]) if counting else b"")
-        out += bytes([LIT, unit]) + data[at : at + unit]
-        out += bytes([LOOP]) + leb.encode(length // unit - 1) + leb.encode(len(body)) + body
-        at += length
-        covered = at
-    gap(len(data))
-    return bytes(out) + bytes([HALT])
+    """Counting runs and runs of one byte as loops, programs of their own for what lies between (found together)."""
+    runs = loop_runs(data)
+    edges = [0, *(x for start, length, _ in runs for x in (start, start + length)), len(data)]
+    between = naive_programs([data[a:b] for a, b in zip(edges[::2], edges[1::2])])
+    parts = [next(between)]
+    for (at, length, unit), program in zip(runs, between):
+        body = bytes([CPY]) + leb.encode(unit) * 2 + (bytes([MAP, 2, 4]) if unit == 4 else b"")
+        parts += bytes([LIT, unit]) + data[at : at + unit], bytes([LOOP]) + leb.encode(length // unit - 1) + leb.encode(len(body)) + body, program
+    return b"".join(parts) + bytes([HALT])
 
 
 def coverage(program: bytes) -> list[tuple[int, str]]:
