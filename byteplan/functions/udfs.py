@@ -54,6 +54,9 @@ _TOKENS = "array<struct<ord:int,kind:string,start:bigint,len:bigint,offset:bigin
 _METRICS = "struct<literal_fraction:double,avg_match_len:double,line_similarity:double,byte_entropy:double,utf8_valid_ratio:double>"
 
 
+_LZ_STATISTICS = "struct<n_literals:int,n_matches:int,literal_bytes:bigint,match_bytes:bigint>"
+
+
 def lz_tokens(blobs: list[bytes]) -> Iterator[list[dict]]:
     for data, tokens in zip(blobs, lz.parse_many(blobs)):
         yield [
@@ -62,6 +65,19 @@ def lz_tokens(blobs: list[bytes]) -> Iterator[list[dict]]:
         ]
 
 
+def lz_statistics(blobs: list[bytes]) -> Iterator[dict]:
+    """Numbers and bytes of the literals and matches of each blob's parse; tokens are counted as they are made."""
+    for parts in lz.parse_parts(blobs):
+        literals = matches = literal_bytes = match_bytes = 0
+        for tokens in parts:
+            copied = tokens[:, 2] > 0
+            matches += (n := int(copied.sum()))
+            literals += len(tokens) - n
+            match_bytes += (size := int(tokens[copied, 1].sum()))
+            literal_bytes += int(tokens[:, 1].sum()) - size
+        yield {"n_literals": literals, "n_matches": matches, "literal_bytes": literal_bytes, "match_bytes": match_bytes}
+
+
 def program_tokens(program: bytes) -> list[dict]:
     """Disassembly: one row per instruction of the main frame."""
     return [
@@ -187,6 +203,7 @@ KERNELS: dict[str, tuple[Callable, str]] = {
 BATCH_KERNELS: dict[str, tuple[Callable, str]] = {
     "class_metrics": (lambda blobs: (profile.metrics(d, t) for d, t in zip(blobs, lz.parse_many(blobs))), _METRICS),
     "lz_tokens": (lambda blobs: lz_tokens(blobs), _TOKENS),
+    "lz_statistics": (lambda blobs: lz_statistics(blobs), _LZ_STATISTICS),
     "lz_encode": (lambda blobs: (lz.encode(d, t) for d, t in zip(blobs, lz.parse_many(blobs))), "binary"),
     "compress_naive": (lambda blobs: lz.compress_naive_many(blobs), "binary"),
 }

@@ -65,15 +65,13 @@ def classify(blobs: DataFrame) -> DataFrame:
 
 
 def lz_statistics(blobs: DataFrame) -> DataFrame:
-    """Token statistics of each blob's parse, reduced inside its row."""
-    rows = blobs.withColumn("t", _K["lz_tokens"]("content"))
-    lit, cpy = F.filter("t", lambda x: x["kind"] == "LIT"), F.filter("t", lambda x: x["kind"] == "CPY")
-    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x["len"])
+    """Token statistics of each blob's parse, counted where it is made; no tokens leave the kernel."""
+    rows = blobs.withColumn("t", _K["lz_statistics"]("content"))
+    n, literal, match = F.col("t.n_matches"), F.col("t.literal_bytes"), F.col("t.match_bytes")
     return rows.select(
-        "corpus", "path", "length", F.size(lit).alias("n_literals"), F.size(cpy).alias("n_matches"),
-        total(lit).alias("literal_bytes"), total(cpy).alias("match_bytes"),
-        F.when(F.col("length") == 0, 1.0).otherwise(total(lit) / F.greatest("length", F.lit(1))).alias("literal_fraction"),
-        F.when(F.size(cpy) == 0, 0.0).otherwise(total(cpy) / F.greatest(F.size(cpy), F.lit(1))).alias("avg_match_len"),
+        "corpus", "path", "length", "t.n_literals", "t.n_matches", "t.literal_bytes", "t.match_bytes",
+        F.when(F.col("length") == 0, 1.0).otherwise(literal / F.greatest("length", F.lit(1))).alias("literal_fraction"),
+        F.when(n == 0, 0.0).otherwise(match / F.greatest(n, F.lit(1))).alias("avg_match_len"),
     )
 
 
