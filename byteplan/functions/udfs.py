@@ -50,19 +50,53 @@ def batch_kernel(function: Callable, returns: str):
     return arrow_udf(run, returnType=kind)
 
 
+def stream_kernel(function: Callable, returns: str):
+    """An Arrow UDF of a function of a list of values (or nulls) that gives their results in arrays of bounded size."""
+    kind: DataType = _parse_datatype_string(returns)
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in batches:
+            yield from function(a.to_pylist(), arrow)
+
+    return arrow_udf(run, returnType=kind)
+
+
 _TOKENS = "array<struct<ord:int,kind:string,start:bigint,len:bigint,offset:bigint,data:binary>>"
 _METRICS = "struct<literal_fraction:double,avg_match_len:double,line_similarity:double,byte_entropy:double,utf8_valid_ratio:double>"
 
 
 _LZ_STATISTICS = "struct<n_literals:int,n_matches:int,literal_bytes:bigint,match_bytes:bigint>"
-
-
-def lz_tokens(blobs: list[bytes]) -> Iterator[list[dict]]:
-    for data, tokens in zip(blobs, lz.parse_many(blobs)):
-        yield [
-            {"ord": k, "kind": t.kind, "start": t.start, "len": t.length, "offset": t.offset, "data": None if t.offset else data[t.start : t.start + t.length]}
-            for k, t in enumerate(tokens)
-        ]
+#: Tokens that are handed over together; a blob's tokens stay together.
+TOKENS_AT_ONCE = 1 << 16
+
+
+def lz_tokens(blobs: list[bytes | None], kind: pa.ListType) -> Iterator[pa.ListArray]:
+    """The tokens of each blob, whole blobs in arrays of about ``TOKENS_AT_ONCE`` tokens."""
+    parses = lz.parse_parts([b for b in blobs if b is not None])
+    ends, nulls, parts = [0], [], []
+    for k, data in enumerate(blobs):
+        count = 0
+        for tokens in next(parses) if data is not None else ():
+            parts.append(_token_array(data, tokens, count, kind.value_type))
+            count += len(tokens)
+        ends.append(ends[-1] + count)
+        nulls.append(data is None)
+        if ends[-1] >= TOKENS_AT_ONCE or k == len(blobs) - 1:
+            values = pa.concat_arrays(parts) if parts else pa.array([], kind.value_type)
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, type=kind, mask=pa.array(nulls))
+            ends, nulls, parts = [0], [], []
+
+
+def _token_array(data: bytes, tokens: np.ndarray, ord: int, kind: pa.StructType) -> pa.StructArray:
+    starts, lengths, offsets = tokens.T
+    literal = offsets == 0
+    ends = np.concatenate(([0], np.cumsum(np.where(literal, lengths, 0)))).astype(np.int32)
+    held = b"".join([data[a : a + n] for a, n in tokens[literal, :2].tolist()])
+    data_column = pa.Array.from_buffers(pa.binary(), len(tokens), [pa.array(literal).buffers()[1], pa.py_buffer(ends), pa.py_buffer(held)])
+    kinds = pa.array(["CPY", "LIT"]).take(pa.array(literal.astype(np.int8)))
+    columns = [pa.array(np.arange(ord, ord + len(tokens), dtype=np.int32)), kinds, *(pa.array(np.ascontiguousarray(c)) for c in (starts, lengths, offsets)), data_column]
+    return pa.StructArray.from_arrays(columns, fields=list(kind))
 
 
 def lz_statistics(blobs: list[bytes]) -> Iterator[dict]:
@@ -202,18 +236,24 @@ KERNELS: dict[str, tuple[Callable, str]] = {
 #: The same of functions that take many blobs at once.
 BATCH_KERNELS: dict[str, tuple[Callable, str]] = {
     "class_metrics": (lambda blobs: (profile.metrics(d, t) for d, t in zip(blobs, lz.parse_many(blobs))), _METRICS),
-    "lz_tokens": (lambda blobs: lz_tokens(blobs), _TOKENS),
     "lz_statistics": (lambda blobs: lz_statistics(blobs), _LZ_STATISTICS),
     "lz_encode": (lambda blobs: (lz.encode(d, t) for d, t in zip(blobs, lz.parse_many(blobs))), "binary"),
     "compress_naive": (lambda blobs: lz.compress_naive_many(blobs), "binary"),
 }
 
 
+#: The same of functions whose results are long.
+STREAM_KERNELS: dict[str, tuple[Callable, str]] = {
+    "lz_tokens": (lambda blobs, kind: lz_tokens(blobs, kind), _TOKENS),
+}
+
+
 class _Lazy(dict):
     """Kernels made when they are first used; making one needs a running session."""
 
     def __missing__(self, name: str) -> Callable:
-        made = self[name] = batch_kernel(*BATCH_KERNELS[name]) if name in BATCH_KERNELS else kernel(*KERNELS[name])
+        make, among = next((m, k) for m, k in ((batch_kernel, BATCH_KERNELS), (stream_kernel, STREAM_KERNELS), (kernel, KERNELS)) if name in k)
+        made = self[name] = make(*among[name])
         return made
 
 
@@ -224,5 +264,5 @@ def functions() -> dict[str, Callable]:
 def register(spark: SparkSession) -> None:
     """Make every kernel callable from SQL under its name."""
     made = functions()
-    for name in (*KERNELS, *BATCH_KERNELS):
+    for name in (*KERNELS, *BATCH_KERNELS, *STREAM_KERNELS):
         spark.udf.register(name, made[name])

@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from byteplan.functions import udfs
 from byteplan.kernels import lz
@@ -48,3 +50,19 @@ def test_statistics_are_those_of_the_tokens(spark):
     rows = spark.createDataFrame([("c", None, None, None), ("c", "e", b"", 0), ("c", "x", texts[0], len(texts[0]))], "corpus string, path string, content binary, length long")
     out = {r["path"]: r for r in profiling.lz_statistics(rows).collect()}
     assert out[None]["n_literals"] is None and out["e"]["literal_fraction"] == 1.0 and out["x"]["n_matches"] == got[0]["n_matches"]
+
+
+def test_tokens_are_handed_over_in_bounded_arrays(monkeypatch, spark):
+    texts = [None, lines(300), b"", b"abc", *[lines(40, seed) for seed in range(30)], None, b"\x00" * 900]
+    kind = to_arrow_type(_parse_datatype_string(udfs._TOKENS))
+    monkeypatch.setattr(udfs, "TOKENS_AT_ONCE", 200)
+    arrays = list(udfs.lz_tokens(texts, kind))
+    assert len(arrays) > 10 and all(len(a.flatten()) < 200 + max(len(lz.parse(t)) for t in texts if t) for a in arrays)
+    want = [
+        None if t is None else [{"ord": k, "kind": x.kind, "start": x.start, "len": x.length, "offset": x.offset, "data": None if x.offset else t[x.start : x.start + x.length]} for k, x in enumerate(lz.parse(t))]
+        for t in texts
+    ]
+    assert [x for a in arrays for x in a.to_pylist()] == want
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "path int, content binary")
+    got = {r["path"]: r["t"] for r in rows.select("path", udfs.functions()["lz_tokens"]("content").alias("t")).collect()}
+    assert [got[k] and [x.asDict() | {"data": x["data"] and bytes(x["data"])} for x in got[k]] for k in range(len(texts))] == want
