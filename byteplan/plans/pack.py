@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.builtin import apply_magic
 from ..functions.udfs import functions
-from ..kernels import containers
+from ..kernels import containers, synth
+from ..kernels.dictionary import MIN_NET_GAIN, net_gain, strided_patterns
 from ..kernels.errors import FormatError, VmError
 from ..operators import mining
 
@@ -34,17 +36,29 @@ def read_blobs(spark: SparkSession, path: str, corpus: str = "all") -> DataFrame
 def mine_dictionary(blobs: DataFrame, min_size: int = MIN_MINED) -> dict[bytes, bytes]:
     """A dictionary of what programs leave literal in large blobs; empty unless it promises a net gain.
 
-    Literals are mined one by one, so no pattern reaches over two of them. At most 50 patterns come to
-    the driver.
+    Literals are mined one by one, so no pattern reaches over two of them. A blob's program is made once, and only its
+    patterns leave the kernel. At most 50 patterns come to the driver.
     """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("content"):
+                pieces = synth.compress(data.as_py()).program.literals()
+                if not pieces:  # blobs that are all structure do not count
+                    continue
+                found = [None, *set().union(*map(strided_patterns, pieces))]  # null: the blob
+                del pieces
+                for at in range(0, len(found), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 10_000], pa.binary())], names=["pattern"])
+
     large = blobs.filter(F.col("length") > min_size)
-    literals = large.select(F.lit("all").alias("corpus"), "path", _K["synthesize"]("content")["literals"].alias("pieces"))
-    literals = literals.withColumn("length", F.size("pieces"))  # blobs that are all structure do not count
-    patterns = mining.strided_dictionary(literals)
-    rows = patterns.collect()
+    counts = large.select("content").mapInArrow(run, "pattern binary").groupBy("pattern").agg(F.count("*").alias("files")).persist(StorageLevel.DISK_ONLY)
+    try:
+        seen = counts.filter("pattern IS NULL").select(F.lit("all").alias("corpus"), F.col("files").alias("seen"))
+        rows = mining.ranked_dictionary(counts.filter("pattern IS NOT NULL").select(F.lit("all").alias("corpus"), "pattern", "files"), seen).collect()
+    finally:
+        counts.unpersist()
     found = {bytes(r["key"]): bytes(r["pattern"]) for r in rows}
-    from ..kernels.dictionary import MIN_NET_GAIN, net_gain
-
     return found if rows and net_gain(found, rows[0]["seen"]) >= MIN_NET_GAIN else {}
 
 

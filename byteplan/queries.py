@@ -667,9 +667,11 @@ def archive_summary(spark, sf_dir):
 @_query("""WITH b AS (SELECT (o_custkey % 20)::VARCHAR AS path, string_agg(o_orderkey || ',fixed,' || o_orderstatus || ',' || o_custkey || chr(10), '' ORDER BY o_orderkey) AS t FROM orders GROUP BY ALL)
 SELECT path, md5(t) AS digest FROM b""")
 def archive_deep(spark, sf_dir):
-    blobs = as_blobs(_order_blobs(spark, sf_dir), F.col("path"), F.col("content"))
+    # A kernel to a stage: an executor then holds one worker for each core, not one for each kernel and core.
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    blobs = as_blobs(_order_blobs(spark, sf_dir), F.col("path"), F.col("content")).repartition(tasks)
     found = pack.mine_dictionary(blobs, min_size=1024)
-    entries = pack.encode_entries(blobs, found, force_programs=True)
+    entries = pack.encode_entries(blobs, found, force_programs=True).repartition(tasks)
     return pack.decode_entries(entries, found).select("path", F.md5("content").alias("digest"))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +22,29 @@ def as_blobs(df: DataFrame, path: Column, content: Column, corpus: Column | None
 
 
 def render_rows(df: DataFrame, group: Column, order: list[str], fields: list[Column], separator: str = ",", end: str = "\n") -> DataFrame:
-    """One text per group: its rows as delimited lines in order (path, content)."""
+    """One text per group: its rows as delimited lines in order (path, content).
+
+    Lines are sorted outside the JVM's heap and joined as they come; a task holds one text.
+    """
     line = F.concat(F.concat_ws(separator, *fields), F.lit(end))
-    rows = df.select(group.cast("string").alias("path"), F.struct(*order, line.alias("line")).alias("r"))
-    return rows.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["line"]), "").alias("content"))
+    keys = [F.col(c).alias(f"order_{k}") for k, c in enumerate(order)]
+    rows = df.select(group.cast("string").alias("path"), *keys, line.alias("line"))
+    rows = rows.repartition("path").sortWithinPartitions("path", *[f"order_{k}" for k in range(len(order))], "line")
+
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, text, begun = None, bytearray(), False
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([bytes(text)], pa.binary()).view(pa.string())], names=["path", "content"])
+        for batch in batches:
+            at = 0
+            for found, same in groupby(batch.column("path").to_pylist()):
+                if begun and found != path:
+                    yield made()
+                    text = bytearray()
+                path, begun, n = found, True, sum(1 for _ in same)
+                lines = batch.column("line").slice(at, n)
+                text += b"".join(x.as_buffer() for x in lines)
+                at += n
+        if begun:
+            yield made()
+
+    return rows.select("path", "line").mapInArrow(join, "path string, content string")

@@ -1,14 +1,19 @@
 """Memory is bounded by blocks, not by the blob or the batch; results are those of the whole."""
 
 import random
+import tracemalloc
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from byteplan.functions import udfs
-from byteplan.kernels import lz
+from byteplan.kernels import dictionary, lz, profile, synth
 from byteplan.operators import profiling
+from byteplan.plans import pack
+from byteplan.schema import render_rows
 
 
 def lines(n, seed=0):
@@ -66,3 +71,31 @@ def test_tokens_are_handed_over_in_bounded_arrays(monkeypatch, spark):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "path int, content binary")
     got = {r["path"]: r["t"] for r in rows.select("path", udfs.functions()["lz_tokens"]("content").alias("t")).collect()}
     assert [got[k] and [x.asDict() | {"data": x["data"] and bytes(x["data"])} for x in got[k]] for k in range(len(texts))] == want
+
+
+def test_similarity_holds_two_lines_and_synthesis_no_lists_of_tokens():
+    data = lines(20_000)
+    for work, most in ((lambda: profile.line_similarity(data), 4), (lambda: synth.compress(data), 60)):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * len(data) + 150 * lz.TOGETHER * (most > 4)
+
+
+def test_rendered_rows_keep_order_nulls_and_ties(spark):
+    rows = [("a", 2, "x"), ("a", None, "n"), ("a", 1, None), ("a", 2, "w"), (None, 5, "q"), ("é", 1, "ü"), (None, 4, None), ("b", 1, "")] + [("long", k, "y" * 9) for k in range(25_000)]
+    df = spark.createDataFrame(rows, "g string, o int, v string").repartition(7)
+    got = {r["path"]: r["content"] for r in render_rows(df, F.col("g"), ["o"], [F.col("o").cast("string"), F.lit("k"), F.col("v")]).collect()}
+    assert got == {"a": "k,n\n1,k\n2,k,w\n2,k,x\n", None: "4,k\n5,k,q\n", "é": "1,k,ü\n", "b": "1,k,\n", "long": "".join(f"{k},k,{'y' * 9}\n" for k in range(25_000))}
+
+
+def test_mining_makes_a_program_once_for_each_blob(spark):
+    blobs = [b"prefix %d says: the quick brown fox jumps over; " % k + random.Random(k).randbytes(300) for k in range(12)] + [b"", None]
+    df = spark.createDataFrame([("all", str(k), b, len(b or b"")) for k, b in enumerate(blobs)], "corpus string, path string, content binary, length long").repartition(3)
+    pieces = [synth.compress(b).program.literals() for b in blobs if b]
+    files = Counter(p for found in pieces for p in set().union(*map(dictionary.strided_patterns, found)))
+    seen = sum(map(bool, pieces))
+    best = sorted((-c, -len(p), p) for p, c in files.items() if c >= max(2, seen // 10) and profile.entropy(p) >= dictionary.MIN_ENTROPY)[: dictionary.STRIDED_SIZE]
+    want = {dictionary.short_key(k): p for k, (_, _, p) in enumerate(best)}
+    assert pack.mine_dictionary(df, min_size=0) == (want if dictionary.net_gain(want, seen) >= dictionary.MIN_NET_GAIN else {})
