@@ -446,7 +446,7 @@ def coverage_curve(spark, sf_dir):
 @_query()
 def leave_one_out(spark, sf_dir):
     blobs = as_blobs(_order_blobs(spark, sf_dir), F.col("path"), F.col("content"))
-    return mining.leave_one_out(blobs.repartition(spark.sparkContext.defaultParallelism, "path"))
+    return mining.leave_one_out(blobs)
 
 
 @_query(f"""WITH {_TOP_SQL}, b AS (SELECT rank, printf('%08X', rank) AS r, printf('%08X', length(p) // 2) AS l, p FROM top)
@@ -516,7 +516,7 @@ def single_blob_benefit(spark, sf_dir):
 @_query()
 def leave_one_out_measured(spark, sf_dir):
     blobs = as_blobs(_order_blobs(spark, sf_dir), F.col("path"), F.col("content"))
-    return benefit.measured(mining.held_out_dictionaries(blobs.repartition(spark.sparkContext.defaultParallelism, "path")))
+    return benefit.measured(mining.held_out_dictionaries(blobs))
 
 
 #: A list of its own, best first, of more words than the curve has points.
