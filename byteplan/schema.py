@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +36,19 @@ def render_rows(df: DataFrame, group: Column, order: list[str], fields: list[Col
         path, text, begun = None, bytearray(), False
         made = lambda: pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([bytes(text)], pa.binary()).view(pa.string())], names=["path", "content"])
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            lines, runs = batch.column("line"), pc.run_end_encode(batch.column("path"))
+            _, offsets, data = lines.buffers()
+            places = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(lines.type) else np.int32)[lines.offset :]
             at = 0
-            for found, same in groupby(batch.column("path").to_pylist()):
+            for found, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
                 if begun and found != path:
                     yield made()
                     text = bytearray()
-                path, begun, n = found, True, sum(1 for _ in same)
-                lines = batch.column("line").slice(at, n)
-                text += b"".join(x.as_buffer() for x in lines)
-                at += n
+                path, begun = found, True
+                text += memoryview(data)[places[at] : places[end]]  # lines lie end to end
+                at = end
         if begun:
             yield made()
 
