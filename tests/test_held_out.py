@@ -6,7 +6,8 @@ from collections import Counter
 
 import pytest
 
-from byteplan.kernels import dictionary, substrings
+from byteplan.kernels import dictionary, lz, substrings
+from byteplan.kernels.vm import HALT
 from byteplan.operators import mining
 from byteplan.schema import BLOBS
 
@@ -79,3 +80,23 @@ def test_only_named_patterns_are_counted_where_they_settle_it(spark, monkeypatch
     got = {r["path"]: [bytes(p) for p in r["patterns"]] for r in mining.held_out_dictionaries(rows).collect()}
     assert set(got) == set(blobs) and all(len(p) == 50 for p in got.values())
     assert got["2"] == list(dictionary.mine_across([b for p, b in blobs.items() if p != "2"]).values())
+
+
+def test_references_are_made_some_at_a_time(monkeypatch):
+    data, words = lines(60_000, 1), {0: b",fixed,", 7: b",fixed,O,", 300: b"1,"}
+    whole = dictionary.compress_with_references(data, words)
+    assert dictionary.decompress_with_references(whole, words) == data
+    for at_once in (1, 1000):
+        monkeypatch.setattr(dictionary, "TOGETHER", at_once)
+        for part in (data[:3000], b"", b"1,", data if at_once > 1 else b"none"):
+            found = dictionary.find_matches(part, words)
+            edges = [0, *(x for start, end, _ in found for x in (start, end)), len(part)]
+            programs = [lz.compress_naive(part[a:b], window=32768, halt=False) for a, b in zip(edges[::2], edges[1::2])] if len(part) <= 3000 else None
+            got = dictionary.compress_with_references(part, words)
+            assert got == (whole if programs is None else programs[0] + b"".join(dictionary.reference(k) + p for (_, _, k), p in zip(found, programs[1:])) + bytes([HALT]))
+    assert len(dictionary.find_matches(data, words)) > 50_000
+    tracemalloc.start()
+    dictionary.compress_with_references(data, words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(data) + 1000 * 1000  # the program, and what 1,000 references take
